@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkloom.llm.canonical import canonicalise, standins
 from talkloom.llm.topn import top_n
 from talkloom.operators.links import dated_links, distinct_links
+from talkloom.sources.tables import table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -32,3 +34,18 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     links = dated_links(spark, folder, distinct_links(spark, folder).where("relevance is not null"))
     order = [F.col("relevance").desc(), F.col("timestamp").desc(), F.col("chat_id").asc(), F.col("message_id").asc()]
     return top_n(links, ["topic_id"], order, 5).select("topic_id", "chat_id", "message_id")
+
+
+@query()
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of a message agree in their text, so found rows are reduced to keys only after the scan."""
+    messages = table(spark, folder, "messages").where("text_plain is not null").select("chat_id", F.col("message_id").alias("record_id"), F.col("text_plain").alias("t"))
+    topics = table(spark, folder, "wiki_topics").where("title_ko is not null").select(F.lit(0).cast("long").alias("chat_id"), F.col("topic_id").alias("record_id"), F.col("title_ko").alias("t"))
+    found = [standins(rows, "t").select(F.lit(kind).alias("record_kind"), "*") for kind, rows in (("message", messages), ("topic", topics))]
+    return found[0].unionByName(found[1]).distinct()
+
+
+@query()
+def p6_canonical_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """Every topic row with the consistent form of its Korean title."""
+    return canonicalise(table(spark, folder, "wiki_topics").select("topic_id", "updated_at", "title_ko"), "title_ko", "title_form")
