@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm.canonical import canonicalise, standins
+from talkloom.llm.spans import shared_pairs, shared_share, shared_windows
 from talkloom.llm.topn import top_n
 from talkloom.operators.links import dated_links, distinct_links
 from talkloom.sources.tables import table
@@ -49,3 +50,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_canonical_topics(spark: SparkSession, folder: str) -> DataFrame:
     """Every topic row with the consistent form of its Korean title."""
     return canonicalise(table(spark, folder, "wiki_topics").select("topic_id", "updated_at", "title_ko"), "title_ko", "title_form")
+
+
+def _shared(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_windows(table(spark, folder, "documents"), "doc_id", "text", 200)
+
+
+@query()
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return shared_pairs(_shared(spark, folder)).select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
+
+
+@query()
+def p10_shared_share(spark: SparkSession, folder: str) -> DataFrame:
+    share = shared_share(_shared(spark, folder), table(spark, folder, "documents"), "doc_id", "text", 200)
+    return share.withColumnRenamed("key", "doc_id")
