@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm.canonical import canonicalise, standins
+from talkloom.llm.contamination import contaminated
 from talkloom.llm.spans import shared_pairs, shared_share, shared_windows
 from talkloom.llm.topn import top_n
 from talkloom.operators.links import dated_links, distinct_links
@@ -65,3 +66,21 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 def p10_shared_share(spark: SparkSession, folder: str) -> DataFrame:
     share = shared_share(_shared(spark, folder), table(spark, folder, "documents"), "doc_id", "text", 200)
     return share.withColumnRenamed("key", "doc_id")
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "eval_items"), 50)
+
+
+@query()
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("item_id", "doc_id").distinct()
+
+
+@query()
+def p8_leak_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per test item: in how many documents it leaked and the longest part found."""
+    best = _leaks(spark, folder).groupBy("item_id").agg(
+        F.countDistinct("doc_id").alias("n_docs"), F.max("run_chars").alias("longest_run"), F.max("item_chars").alias("item_chars")
+    )
+    return best.withColumn("longest_share", F.round(F.col("longest_run") / F.col("item_chars"), 6))
