@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.canonical import canonicalise, standins
 from talkloom.llm.contamination import contaminated
+from talkloom.llm.neardup import NearCopies
 from talkloom.llm.spans import shared_pairs, shared_share, shared_windows
 from talkloom.llm.topn import top_n
 from talkloom.operators.links import dated_links, distinct_links
@@ -84,3 +85,17 @@ def p8_leak_report(spark: SparkSession, folder: str) -> DataFrame:
         F.countDistinct("doc_id").alias("n_docs"), F.max("run_chars").alias("longest_run"), F.max("item_chars").alias("item_chars")
     )
     return best.withColumn("longest_share", F.round(F.col("longest_run") / F.col("item_chars"), 6))
+
+
+def _near_copies(spark: SparkSession, folder: str) -> NearCopies:
+    return NearCopies(table(spark, folder, "messages"), ["chat_id", "message_id"], "text_plain", 5, 0.6, 130)
+
+
+@query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _near_copies(spark, folder).pairs().select("chat_id_a", "message_id_a", "chat_id_b", "message_id_b")
+
+
+@query()
+def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return _near_copies(spark, folder).classes()
