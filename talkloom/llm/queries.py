@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkloom.llm.canonical import canonicalise, standins
 from talkloom.llm.contamination import contaminated
 from talkloom.llm.neardup import NearCopies
+from talkloom.llm.pii import find_personal, redact_column
 from talkloom.llm.spans import shared_pairs, shared_share, shared_windows
 from talkloom.llm.topn import top_n
 from talkloom.operators.links import dated_links, distinct_links
@@ -99,3 +100,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _near_copies(spark, folder).classes()
+
+
+@query()
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "messages").where("text_plain is not null").select("chat_id", "message_id", "text_plain")
+    return find_personal(rows, "text_plain").distinct()
+
+
+@query()
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return redact_column(table(spark, folder, "messages").select("chat_id", "message_id", "text_plain"), "text_plain").drop("text_plain")
