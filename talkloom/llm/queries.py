@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom.llm.canonical import canonicalise, standins
 from talkloom.llm.contamination import contaminated
+from talkloom.llm.mixture import Mixture
 from talkloom.llm.neardup import NearCopies
 from talkloom.llm.pii import find_personal, redact_column
 from talkloom.llm.spans import shared_pairs, shared_share, shared_windows
@@ -111,3 +112,17 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return redact_column(table(spark, folder, "messages").select("chat_id", "message_id", "text_plain"), "text_plain").drop("text_plain")
+
+
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query()
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).drawn()
+
+
+@query()
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).shares()
