@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talkloom.llm.canonical import canonicalise, standins
 from talkloom.llm.contamination import contaminated
 from talkloom.llm.mixture import Mixture
+from talkloom.llm.names import entities, entity_pairs
 from talkloom.llm.neardup import NearCopies
 from talkloom.llm.pii import find_personal, redact_column
 from talkloom.llm.spans import shared_pairs, shared_share, shared_windows
@@ -126,3 +127,13 @@ def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).shares()
+
+
+@query()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return entity_pairs(entities(table(spark, folder, "wiki_topics")), "topic_id")
+
+
+@query()
+def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
+    return entities(table(spark, folder, "wiki_topics"))
