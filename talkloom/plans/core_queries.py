@@ -1,6 +1,9 @@
-"""Queries of the search and topic analytics operators with their SQL."""
+"""All queries of the search and analytics operators with their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from talkloom.plans import list_queries, search_queries, store_queries, topic_queries
+
+_MODULES = (search_queries, topic_queries, store_queries, list_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
