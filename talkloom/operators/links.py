@@ -13,11 +13,12 @@ LINK = ["topic_id", "chat_id", "message_id"]
 def dated_links(spark: SparkSession, folder: str, links: DataFrame, arrival: bool = False) -> DataFrame:
     """``links`` whose message exists, with its earliest timestamp (and first arrival).
 
-    Messages are reduced to one row per key before the join, so repeated deliveries never multiply links.
+    Messages are reduced to one row per key before the join, so repeated deliveries never multiply links. Links without a full
+    key are dropped; columns named timestamp or arrived are replaced. Messages without time give null.
     """
     what = [F.min("timestamp").alias("timestamp"), *([F.min("received_at").alias("arrived")] if arrival else [])]
     dates = table(spark, folder, "messages").where("chat_id is not null and message_id is not null").groupBy("chat_id", "message_id").agg(*what)
-    return links.join(dates, ["chat_id", "message_id"])
+    return links.drop("timestamp", "arrived").join(dates, ["chat_id", "message_id"])
 
 
 def distinct_links(spark: SparkSession, folder: str) -> DataFrame:

@@ -22,17 +22,17 @@ def upsert(snapshot: DataFrame, batch: DataFrame, keys: Sequence[str], keep: Seq
     batch has a value. Adds nothing else to the columns.
     """
     columns = [c for c in snapshot.columns if c not in keys]
-    old = snapshot.select(*keys, *(F.col(c).alias(f"o_{c}") for c in columns), F.lit(True).alias("o"))
-    new = batch.select(*keys, *(F.col(c).alias(f"n_{c}") for c in columns), F.lit(True).alias("n"))
+    old = snapshot.select(*keys, *(F.col(c).alias(f"o_{c}") for c in columns), F.lit(True).alias("__o"))
+    new = batch.select(*keys, *(F.col(c).alias(f"n_{c}") for c in columns), F.lit(True).alias("__n"))
     joined = old.join(new, list(keys), "full")
 
     def value(c: str) -> Column:
         was, now = F.col(f"o_{c}"), F.col(f"n_{c}")
         if c in keep:
-            return F.when(F.col("o"), was).otherwise(now)
+            return F.when(F.col("__o"), was).otherwise(now)
         if c in fill:
             return F.coalesce(now, was)
-        return F.when(F.col("n"), now).otherwise(was)
+        return F.when(F.col("__n"), now).otherwise(was)
 
     return joined.select(*keys, *(value(c).alias(c) for c in columns)).select(*snapshot.columns)
 
