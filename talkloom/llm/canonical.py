@@ -225,12 +225,10 @@ def canonical_array(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def canonicalise(rows: DataFrame, column: str, form: str = "canonical", found: str = "had_standin") -> DataFrame:
     """``rows`` with the consistent form of ``column`` and whether it held a stand-in.
 
-    Null text gives null and False, empty text itself. The two new columns must not exist yet. Line breaks,
-    pictures, single Hangul letters, precomposed accents and words wholly in another script stay.
+    Null text gives null and False, empty text itself. Columns that have the new names already are replaced.
+    Line breaks, pictures, single Hangul letters, precomposed accents and words wholly in another script stay.
     """
-    taken = {form, found} & set(rows.columns)
-    if taken:
-        raise ValueError(f"columns exist already: {sorted(taken)}")
+    rows = rows.drop(*({form, found} - {column}))
     schema = T.StructType([*rows.schema.fields, T.StructField(form, T.StringType()), T.StructField(found, T.BooleanType())])
     at = rows.columns.index(column)
 

@@ -136,8 +136,10 @@ class NearCopies:
     """
 
     def __init__(self, rows: DataFrame, keys: list[str], text: str, width: int = 5, least: float = 0.6, shortest: int = 130):
-        self.keys = keys
-        whole = rows.where(" and ".join(f"`{k}` is not null" for k in keys)).select(*keys, squeezed(F.col(text)).alias("norm"))
+        self.names, self.keys = keys, [f"k{i}" for i in range(len(keys))]
+        named = rows.select(*(F.col(f"`{k}`").alias(x) for k, x in zip(keys, self.keys, strict=True)), squeezed(F.col(f"`{text}`")).alias("norm"))
+        whole = named.where(" and ".join(f"{k} is not null" for k in self.keys))
+        keys = self.keys
         whole = whole.where(F.char_length("norm") >= shortest).withColumn("tid", F.xxhash64("norm"))
         self.members = cut(whole.select("tid", *keys).distinct(), "members")
         self.texts = cut(whole.groupBy("tid").agg(F.first("norm").alias("norm")), "texts")
@@ -147,7 +149,7 @@ class NearCopies:
         """All pairs of records that are near or exact copies, each key column as <key>_a and <key>_b, a < b."""
         a, b = (self.members.select(F.col("tid").alias(f"tid_{x}"), *(F.col(k).alias(f"{k}_{x}") for k in self.keys)) for x in "ab")
         order = F.struct(*(F.col(f"{k}_a") for k in self.keys)) < F.struct(*(F.col(f"{k}_b") for k in self.keys))
-        columns = [*(f"{k}_a" for k in self.keys), *(f"{k}_b" for k in self.keys)]
+        columns = [F.col(f"{k}_{x}").alias(f"{n}_{x}") for x in "ab" for k, n in zip(self.keys, self.names, strict=True)]
         copies = a.join(b, F.col("tid_a") == F.col("tid_b")).where(order).select(*columns)
         both = self.links.unionByName(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.join(a, F.col("a") == F.col("tid_a")).join(b, F.col("b") == F.col("tid_b")).where(order).select(*columns)
@@ -162,5 +164,5 @@ class NearCopies:
         found = components(links).select(F.col("node").alias("tid"), "component")
         texts = copies.join(degree, "tid", "left").join(found, "tid", "left").where("n_links > 0 or n_copies > 1")
         return self.members.join(texts, "tid").select(
-            *self.keys, F.coalesce("component", "tid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies"
+            *(F.col(k).alias(n) for k, n in zip(self.keys, self.names, strict=True)), F.coalesce("component", "tid").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies"
         )

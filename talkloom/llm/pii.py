@@ -271,8 +271,9 @@ def redact(text: str, found: list[tuple[int, int, str]] | None = None) -> str:
 
 
 def find_personal(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` without ``text``, once per kind found in it, with the column ``kind``. Null and empty text give none."""
-    others = [f for f in rows.schema.fields if f.name != text]
+    """``rows`` without ``text``, once per kind found in it, with the column ``kind``. Null and empty text
+    give none; a column that is named ``kind`` already is replaced."""
+    others = [f for f in rows.schema.fields if f.name not in (text, "kind")]
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +292,9 @@ def find_personal(rows: DataFrame, text: str) -> DataFrame:
 
 
 def redact_column(rows: DataFrame, text: str, to: str = "redacted") -> DataFrame:
-    """``rows`` with ``to``, the text with placeholders, and n_<kind>, the number of findings. Null gives null and 0."""
+    """``rows`` with ``to``, the text with placeholders, and n_<kind>, the number of findings. Null gives null and 0.
+    Columns that have the new names already are replaced."""
+    rows = rows.drop(*({to, *(f"n_{k}" for k in KINDS)} - {text}))
     schema = T.StructType([*rows.schema.fields, T.StructField(to, T.StringType()), *(T.StructField(f"n_{k}", T.IntegerType()) for k in KINDS)])
     names = [f.name for f in schema.fields]
 

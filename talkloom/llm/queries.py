@@ -61,12 +61,21 @@ def _shared(spark: SparkSession, folder: str) -> DataFrame:
     return shared_windows(table(spark, folder, "documents"), "doc_id", "text", 200)
 
 
-@query()
+_SHARED = """WITH w AS (SELECT doc_id, k, substr(text, k, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS k FROM documents WHERE length(text) >= 200)),
+    g AS (SELECT s FROM w GROUP BY 1 HAVING min(doc_id) <> max(doc_id)), m AS (SELECT w.* FROM w JOIN g USING (s))"""
+
+
+@query(f"{_SHARED} SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b USING (s) WHERE a.doc_id < b.doc_id")
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return shared_pairs(_shared(spark, folder)).select(F.col("key_a").alias("doc_id_a"), F.col("key_b").alias("doc_id_b"))
 
 
-@query()
+@query(
+    f"""{_SHARED}, c AS (SELECT doc_id, least(200, coalesce(k - lag(k) OVER (PARTITION BY doc_id ORDER BY k), 200)) AS new FROM m),
+    t AS (SELECT doc_id, CAST(sum(new) AS BIGINT) AS shared_chars FROM c GROUP BY 1)
+    SELECT doc_id, length(coalesce(text, '')) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, round(coalesce(shared_chars, 0) / greatest(length(coalesce(text, '')), 1), 6) AS shared_share
+    FROM documents LEFT JOIN t USING (doc_id)"""
+)
 def p10_shared_share(spark: SparkSession, folder: str) -> DataFrame:
     share = shared_share(_shared(spark, folder), table(spark, folder, "documents"), "doc_id", "text", 200)
     return share.withColumnRenamed("key", "doc_id")
@@ -76,7 +85,15 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "eval_items"), 50)
 
 
-@query()
+_REDUCED = "regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')"
+
+
+@query(
+    f"""WITH i AS (SELECT item_id, {_REDUCED} AS t FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_REDUCED} AS t FROM documents WHERE text IS NOT NULL),
+    iw AS (SELECT DISTINCT item_id, substr(t, k, 50) AS s FROM (SELECT item_id, t, unnest(range(1, length(t) - 48)) AS k FROM i WHERE length(t) >= 50)),
+    dw AS (SELECT doc_id, substr(t, k, 50) AS s FROM (SELECT doc_id, t, unnest(range(1, length(t) - 48)) AS k FROM d WHERE length(t) >= 50))
+    SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (s)"""
+)
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).select("item_id", "doc_id").distinct()
 
