@@ -37,9 +37,7 @@ def scratch_base(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + os.path.join(tempfile.gettempdir(), "talkloom-scratch")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    return "file://" + os.path.join(tempfile.gettempdir(), "talkloom-scratch")
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
