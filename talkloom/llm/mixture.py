@@ -78,7 +78,7 @@ def budgets(leaves: list[dict], total: float) -> dict[tuple, float]:
         while open_ and left > 1e-9:
             base = sum(weight[c] for c in open_)
             # Children without weight take something only if all that have weight are full.
-            portion = {c: left * weight[c] / base if base else left / len(open_) for c in open_}
+            portion = {c: left * (weight[c] / base) if base else left / len(open_) for c in open_}
             full = [c for c in open_ if parts[c] + portion[c] >= room[c] - 1e-9]
             if not full:
                 for c in open_:
