@@ -9,8 +9,10 @@ Damerau-Levenshtein distance. Names meet by equal keys of near parts, so no pair
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,10 @@ from talkloom.operators.components import components
 from talkloom.session import cut
 
 RADIUS = 1
-#: Pivots are chosen among a sample of at most SAMPLE forms; there are between 8 and MOST_PIVOTS.
-SAMPLE, MOST_PIVOTS, COORDINATES = 4000, 96, 10
+#: Pivots are chosen among a sample of at most SAMPLE forms, about one for CELL forms.
+SAMPLE, CELL, LEAST_PIVOTS, MOST_PIVOTS = 2000, 20_000, 4, 64
+#: Longer forms make a ring of their own around the empty word.
+LONG = 64
 
 # Romanisation of Hangul (initials, vowels, finals).
 INITIALS = "g kk n d tt r m b pp s ss  j jj ch k t p h".split(" ")
@@ -60,11 +64,26 @@ def romanise(text: str) -> str:
 
 def distance(a: str, b: str) -> int:
     """Unrestricted Damerau-Levenshtein distance: insertion, deletion, substitution, transposition; a metric."""
-    return int(distances([b], a)[0])
+    i = len(os.path.commonprefix((a, b)))
+    k = len(os.path.commonprefix((a[i:][::-1], b[i:][::-1])))
+    return int(distances([b[i : len(b) - k]], a[i : len(a) - k])[0])
 
 
 def distances(names: list[str], pivot: str) -> np.ndarray:
-    """Distances of all ``names`` to ``pivot``, one table cell for all names at a time."""
+    """Distances of all ``names`` to ``pivot``; names of like length share a table of bounded size."""
+    out = np.zeros(len(names), np.int64)
+    order = sorted(range(len(names)), key=lambda i: len(names[i]))
+    while order:
+        n, room = 1, (1 << 24) // (len(pivot) + 2)
+        while n < len(order) and (n + 1) * (len(names[order[n]]) + 2) <= room and len(names[order[n]]) <= len(names[order[0]]) + 8:
+            n += 1
+        out[order[:n]] = _table([names[i] for i in order[:n]], pivot)
+        order = order[n:]
+    return out
+
+
+def _table(names: list[str], pivot: str) -> np.ndarray:
+    """Distances by one table for all names, cell by cell."""
     n, la = len(names), len(pivot)
     lengths = np.array([len(x) for x in names], np.int64)
     lb = int(lengths.max()) if n else 0
@@ -114,6 +133,21 @@ _LISTED = {form: name for name, forms in ENDINGS.items() for form in (name, *for
 _KOREAN_ENDINGS = sorted((f for f in _LISTED if _HANGUL.match(f)), key=len, reverse=True)
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether the distance is 1 at most: what differs is one character at most on either side, or two exchanged."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    i, most = 0, min(len(a), len(b))
+    while i < most and a[i] == b[i]:
+        i += 1
+    k = 0
+    while k < most - i and a[-1 - k] == b[-1 - k]:
+        k += 1
+    x, y = a[i : len(a) - k], b[i : len(b) - k]
+    return max(len(x), len(y)) <= 1 or len(x) == 2 and x == y[::-1]
+
+
+@lru_cache(100_000)
 def ending(word: str) -> str | None:
     """The organisation ending that ``word`` stands for: listed, cut short, without vowels, or mistyped."""
     if word in _LISTED:
@@ -123,9 +157,7 @@ def ending(word: str) -> str | None:
             if len(form) >= 2 and (name.startswith(form) or len(form) >= 3 and _skeleton(form) == form and _within(form, name)):
                 return name
     if len(word) >= 6 and word.isascii():
-        for name in ENDINGS:
-            if abs(len(name) - len(word)) <= 1 and distance(name, word) <= 1:
-                return name
+        return next((name for name in ENDINGS if within_one(name, word)), None)
     return None
 
 
@@ -212,18 +244,19 @@ def choose_pivots(sample: list[str], count: int) -> list[str]:
     return chosen
 
 
-def near_forms(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b), a < b: all pairs of different forms of ``distinct`` (form) within ``radius`` of each other.
+def near_forms(distinct: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of different forms of ``distinct`` (form) within the radius of each other.
 
     The sample from which pivots are taken is bounded; every form is placed and compared. Whatever the
-    pivots are, the result is complete. The join runs on cells; a large cell is split by adaptive skew handling.
+    pivots are, the result is complete. Inside a cell forms meet by what is left of them after a deletion, so
+    the join follows the number of forms and no cell is one task; the metric then decides.
     """
     spark = distinct.sparkSession
     n = distinct.count()
-    some = [r.form for r in distinct.orderBy(F.xxhash64("form")).limit(SAMPLE).collect()]
-    pivots = choose_pivots(some, max(8, min(MOST_PIVOTS, int(n**0.5) // 2)))
+    short = distinct.where(F.char_length("form") <= LONG)
+    some = [r.form for r in short.orderBy(F.xxhash64("form")).limit(SAMPLE).collect()]
+    pivots = choose_pivots(some, max(LEAST_PIVOTS, min(MOST_PIVOTS, n // CELL)))
     shared = spark.sparkContext.broadcast(pivots)
-    k = min(COORDINATES, len(pivots))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -232,32 +265,35 @@ def near_forms(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
                 continue
             d = np.stack([distances(names, p) for p in shared.value], 1)
             home = d.argmin(1)
-            row, cell = np.nonzero(d <= d.min(1)[:, None] + 2 * radius)
-            columns = [pa.array(cell.astype(np.int32)), b.column("form").take(pa.array(row)), pa.array(home[row] == cell)]
-            columns += [pa.array(d[row, c].astype(np.int16)) for c in range(k)]
-            yield pa.RecordBatch.from_arrays(columns, ["cell", "form", "home", *(f"d{c}" for c in range(k))])
-
-    schema = "cell int, form string, home boolean" + "".join(f", d{c} short" for c in range(k))
-    placed = cut(distinct.mapInArrow(place, schema), "cells")
+            row, cell = np.nonzero(d <= d.min(1)[:, None] + 2 * RADIUS)
+            columns = [pa.array(cell.astype(np.int32)), b.column("form").take(pa.array(row)), pa.array(home[row] == cell), pa.array(d[row, cell].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "form", "home", "d"])
+
+    placed = short.mapInArrow(place, "cell int, form string, home boolean, d int")
+    # Forms within the radius of 1 agree after at most one deletion in each.
+    shorter = F.transform(F.sequence(F.lit(1), F.char_length("form")), lambda i: F.concat(F.substr(F.col("form"), F.lit(1), i - 1), F.substr(F.col("form"), i + 1)))
+    keyed = placed.select("cell", "form", "home", "d", F.explode(F.array_distinct(F.array_append(shorter, F.col("form")))).alias("key"))
+    # The ring of long forms around the empty word: one edit leaves their beginning or their end as it is.
+    ring = distinct.where(F.char_length("form") >= LONG).select(
+        F.lit(-1).alias("cell"), "form", (F.char_length("form") > LONG).alias("home"), F.char_length("form").alias("d"),
+        F.explode(F.array(F.concat(F.lit("^"), F.left("form", F.lit(24))), F.concat(F.lit("$"), F.right("form", F.lit(24))))).alias("key"),
+    )
+    placed = cut(keyed.unionByName(ring), "cells")
     # Of a pair the one in its home cell meets the other there.
-    a = placed.where("home").select(F.col("cell"), F.col("form").alias("a"), *(F.col(f"d{c}").alias(f"a{c}") for c in range(k)))
-    b = placed.select(F.col("cell"), F.col("form").alias("b"), *(F.col(f"d{c}").alias(f"b{c}") for c in range(k)))
-    close = F.lit(True)
-    for c in range(k):
-        close &= F.col(f"a{c}").between(F.col(f"b{c}") - radius, F.col(f"b{c}") + radius)
-    close &= (F.abs(F.char_length("a") - F.char_length("b")) <= radius) & (F.col("a") != F.col("b"))
-    met = a.join(b.hint("merge"), (a.cell == b.cell) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # A transposition is two steps of the built-in distance.
-    met = met.where(F.levenshtein("a", "b") <= 2 * radius).distinct()
-
+    a = placed.where("home").select("cell", "key", F.col("form").alias("a"), F.col("d").alias("a_d"))
+    b = placed.select("cell", "key", F.col("form").alias("b"), F.col("d").alias("b_d"))
+    close = (F.abs(F.col("a_d") - F.col("b_d")) <= RADIUS) & (F.col("a") != F.col("b"))
+    met = a.join(b, ["cell", "key"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = met.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
-    return met.mapInArrow(_verified(radius), "a string, b string")
+    return met.mapInArrow(_verified(RADIUS), "a string, b string")
 
 
 def _verified(most: int):
+    near = within_one if most == 1 else lambda x, y: distance(x, y) <= most
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [distance(x, y) <= most for x, y in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
+            keep = [near(x, y) for x, y in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -291,7 +327,7 @@ def entities(topics: DataFrame, key: str = "topic_id", title: str = "title", tit
     # One part the same, the other farther off.
     x, y = both_ways.where("length(first) > 1 and length(second) > 3").alias("x"), both_ways.where("length(first) > 1 and length(second) > 3").alias("y")
     far = (F.col("x.node") < F.col("y.node")) & (F.greatest(F.length("x.second"), F.length("y.second")) >= 6) & (F.abs(F.length("x.second") - F.length("y.second")) <= 2)
-    by_one = x.join(y, (F.col("x.first") == F.col("y.first")) & far & agree & (F.levenshtein("x.second", "y.second") <= 3))
+    by_one = x.join(y, (F.col("x.first") == F.col("y.first")) & far & agree & (F.levenshtein("x.second", "y.second", 3) >= 0))
     by_one = by_one.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.second").alias("p"), F.col("y.second").alias("q")).mapInArrow(_verified(2), "a long, b long")
     edges = full.select(F.col("id").alias("a"), F.col("node").alias("b")).unionByName(by_parts).unionByName(by_one)
     first = cut(components(edges).where("node >= 0"), "entities")
