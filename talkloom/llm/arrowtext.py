@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -20,6 +21,18 @@ def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, lead[starts - first]
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 21):
+    """Slices of ``batch`` whose ``column`` has at most ``most`` bytes each, or one row, so that memory stays bounded."""
+    texts = batch.column(column)
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)).astype(np.int64)) if len(texts) else np.empty(0, np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def strings(points: np.ndarray, offsets: np.ndarray, nulls: np.ndarray | None = None) -> pa.Array:
     """The inverse of ``code_points``."""
     raw = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8"), np.uint8)

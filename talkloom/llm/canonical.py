@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkloom.llm.arrowtext import code_points, row_of, strings
+from talkloom.llm.arrowtext import code_points, pieces, row_of, strings
 
 LIMIT = 0x110000
 
@@ -233,7 +233,7 @@ def canonicalise(rows: DataFrame, column: str, form: str = "canonical", found: s
     at = rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch, column)):
             text, touched = canonical_array(b.column(at))
             yield pa.RecordBatch.from_arrays([*b.columns, text, pa.array(touched)], names=[*b.schema.names, form, found])
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkloom.llm.arrowtext import Rolling, code_points, mix, row_of
+from talkloom.llm.arrowtext import pieces as pieces_of
 from talkloom.session import cut
 
 #: Counters of a sketch row lie between these powers of two, whatever the input; a sketch has two rows of 2-bit counters.
@@ -155,7 +156,7 @@ def repeated_windows(rows: DataFrame, key: str, text: str, length: int) -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, rolling = Sketch(bits), Rolling(part)
-        for b in batches:
+        for b in (x for batch in batches for x in pieces_of(batch, "text")):
             sketch.add(_selected(b.column(0), length, rolling)[1])
         for k, raw in sketch.pieces():
             yield pa.RecordBatch.from_pydict({"piece": pa.array([k], pa.int32()), "counters": pa.array([raw], pa.binary())})
@@ -167,7 +168,7 @@ def repeated_windows(rows: DataFrame, key: str, text: str, length: int) -> DataF
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, rolling = Sketch.from_pieces(bits, shared.value), Rolling(part)
-        for b in batches:
+        for b in (x for batch in batches for x in pieces_of(batch, "text")):
             row, least = _selected(b.column("text"), length, rolling)
             keep = sketch.repeated(least)
             if keep.any():
@@ -179,7 +180,7 @@ def repeated_windows(rows: DataFrame, key: str, text: str, length: int) -> DataF
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, first, second = Rolling(part), Rolling(length), Rolling(length, 0xD6E8FEB86659FD93 | 1, 7)
-        for b in batches:
+        for b in (x for batch in batches for x in pieces_of(batch, "text")):
             p, offsets = code_points(b.column("text"))
             row, start = _starts(offsets, len(p), length)
             if not len(start):
@@ -196,7 +197,7 @@ def repeated_windows(rows: DataFrame, key: str, text: str, length: int) -> DataF
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(first(p)[start].view(np.int64)),
-                        pa.array(second(p)[start].view(np.int64)),
+                        pa.array((second(p)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         b.column("key").take(pa.array(row)),
                         pa.array(at.astype(np.int32)),
                         pa.array(before, mask=at == 0),
@@ -204,7 +205,7 @@ def repeated_windows(rows: DataFrame, key: str, text: str, length: int) -> DataF
                     ["hash", "hash2", "key", "position", "previous"],
                 )
 
-    return rows.join(by_record, "key").mapInArrow(pick, "hash long, hash2 long, key long, position int, previous int")
+    return rows.join(by_record, "key").mapInArrow(pick, "hash long, hash2 int, key long, position int, previous int")
 
 
 def shared_windows(rows: DataFrame, key: str, text: str, length: int) -> DataFrame:
@@ -213,6 +214,7 @@ def shared_windows(rows: DataFrame, key: str, text: str, length: int) -> DataFra
     ``starts`` tells whether some two of the group's windows may begin a common span: their previous
     characters differ, or a text begins there.
     """
+    # 96 bits of hash tell windows apart.
     found = cut(repeated_windows(rows, key, text, length), "windows")
     groups = (
         found.groupBy("hash", "hash2")
