@@ -9,16 +9,23 @@ from pyspark.sql import functions as F
 
 
 def take_budget(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], size: Column, budget: float, most: int) -> DataFrame:
-    """Of each group the first rows while the sizes before and including them stay below ``budget`` and they are fewer than ``most``."""
-    along = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = rows.withColumn("_sum", F.sum(size).over(along)).withColumn("_k", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-    return ranked.where((F.col("_sum") < budget) & (F.col("_k") < most)).drop("_sum", "_k")
+    """Of each group the first rows while the sizes before and including them stay below ``budget`` and they are fewer than ``most``.
+
+    The bound on the count is applied first, where the rows are, so a large group sends few of them.
+    """
+    few = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("_k") < most)
+    along = Window.partitionBy(*groups).orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return few.withColumn("_sum", F.sum(size).over(along)).where(F.col("_sum") < budget).drop("_sum", "_k")
 
 
 def month_headers(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], month: Column) -> DataFrame:
-    """``rows`` with month and header: whether the next row of the group is of another month, or there is none."""
-    w = Window.partitionBy(*groups).orderBy(*order)
-    return rows.withColumn("month", month).withColumn("header", ~F.coalesce(F.lead("month").over(w) == F.col("month"), F.lit(False)))
+    """``rows`` with month and header: whether the next row of the group is of another month, or there is none.
+
+    ``order`` must be by time, so that the months of a group follow each other: then the last row of each month
+    is the header, and no window is larger than a month.
+    """
+    w = Window.partitionBy(*groups, "month").orderBy(*order)
+    return rows.withColumn("month", month).withColumn("header", F.lead(F.lit(1)).over(w).isNull())
 
 
 def first_occurrence(rows: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
@@ -59,9 +66,17 @@ def around(rows: DataFrame, order: str, tie: str, anchor: tuple, before: int, af
 
 
 def sliding_count(rows: DataFrame, groups: Sequence[str], seconds: str, width: int) -> DataFrame:
-    """``rows`` with recent: rows of the group in the ``width`` seconds up to and including each."""
-    w = Window.partitionBy(*groups).orderBy(seconds).rangeBetween(-width, 0)
-    return rows.withColumn("recent", F.count("*").over(w))
+    """``rows`` with recent: rows of the group in the ``width`` seconds up to and including each.
+
+    Groups are cut into spans of that width; each row counts in its own span and, as context, in the next, so a
+    large group is many windows. Null times count nothing and get 0.
+    """
+    span = F.floor(F.col(seconds) / width)
+    placed = rows.withColumn("_own", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_span", span + F.col("_own"))
+    w = Window.partitionBy(*groups, "_span").orderBy(seconds).rangeBetween(-width, 0)
+    counted = placed.where(F.col(seconds).isNotNull()).withColumn("recent", F.count("*").over(w))
+    none = placed.where(F.col(seconds).isNull()).withColumn("recent", F.lit(0).cast("long"))
+    return counted.unionByName(none).where("_own = 0").drop("_own", "_span")
 
 
 def natural_key(text: Column) -> Column:
@@ -82,8 +97,16 @@ def expand_groups(rows: DataFrame, selected: DataFrame, key: str, group: str) ->
     return rows.join(selected.select(key), key, "left_semi").unionByName(rows.join(groups, group, "left_semi").select(*rows.columns)).distinct()
 
 
-def changes_only(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
-    """Rows whose value differs from the one before (nulls equal each other); the first of a group always."""
-    w = Window.partitionBy(*groups).orderBy(*order)
-    first = F.row_number().over(w) == 1
-    return rows.withColumn("_keep", first | ~F.lag(value).over(w).eqNullSafe(F.col(value))).where("_keep").drop("_keep")
+def changes_only(rows: DataFrame, groups: Sequence[str], order: Sequence[str], value: str, span: Column) -> DataFrame:
+    """Rows whose value differs from the one before (nulls equal each other); the first of a group always.
+
+    ``span`` cuts a group into parts along ``order`` (such as days); each part is a window of its own, and of the
+    parts before it only the last value is needed.
+    """
+    parts = rows.withColumn("_span", span)
+    last = parts.groupBy(*groups, "_span").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*groups).orderBy("_span"))).drop("_last")
+    w = Window.partitionBy(*groups, "_span").orderBy(*order)
+    joined = parts.withColumn("_lag", F.lag(F.struct(value)).over(w)).join(before, [*groups, "_span"])
+    previous = F.coalesce("_lag", "_before")
+    return joined.where(previous.isNull() | ~previous[value].eqNullSafe(F.col(value))).select(*rows.columns)

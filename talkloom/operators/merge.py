@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkloom.session import cut
+
 
 def latest_wins(changes: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key: the last in ``order`` (nulls first). Combined before the shuffle; ties fall to the other columns."""
@@ -72,19 +74,25 @@ def latest_absent(batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     return batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*") if rest else batch.distinct()
 
 
-def next_ids(batch: DataFrame, id_column: str, highest: int, order: Sequence[str], parts: int = 200) -> DataFrame:
-    """Ids from ``highest`` + 1 on in ``order``, without gaps, without one task seeing all rows.
+def ranked(rows: DataFrame, position: str, order: Sequence[str], parts: int = 200) -> DataFrame:
+    """``rows`` with their 0-based position in ``order``, which should be total, without one task seeing all rows.
 
     Rows are ranged by ``order``; each range numbers its own rows, starting behind the counts of the ranges before.
     """
-    ranged = batch.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    ranged = cut(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranged")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    # As many rows as ranges.
     offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))
     own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_k", own).join(offsets, "_p").withColumn(id_column, F.lit(highest) + F.col("_o") + F.col("_k")).drop("_p", "_k", "_o")
+    return ranged.withColumn("_k", own).join(offsets, "_p").withColumn(position, F.col("_o") + F.col("_k") - 1).drop("_p", "_k", "_o")
+
+
+def next_ids(batch: DataFrame, id_column: str, highest: int, order: Sequence[str], parts: int = 200) -> DataFrame:
+    """Ids from ``highest`` + 1 on in ``order``, without gaps."""
+    return ranked(batch, id_column, order, parts).withColumn(id_column, F.col(id_column) + highest + 1)
 
 
-def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str], parts: Mapping[str, Column] | None = None) -> DataFrame:
+def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int = 200) -> DataFrame:
     """(keys, op, old_index, new_index): D removed, I inserted, U changed or moved; unchanged rows are left out.
 
     Indexes are 0-based positions in ``order``, which should be total. Content is compared by hash of the other columns.
@@ -92,8 +100,7 @@ def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[st
     content = [c for c in old.columns if c not in keys]
 
     def indexed(df: DataFrame, name: str) -> DataFrame:
-        at = F.row_number().over(Window.orderBy(*order)) - 1
-        return df.select(*keys, at.alias(f"{name}_index"), F.xxhash64(*content).alias(f"{name}_hash"))
+        return ranked(df, f"{name}_index", order, parts).select(*keys, f"{name}_index", F.xxhash64(*content).alias(f"{name}_hash"))
 
     joined = indexed(old, "old").join(indexed(new, "new"), list(keys), "full")
     op = F.when(F.col("new_index").isNull(), "D").when(F.col("old_index").isNull(), "I").when(F.col("old_hash") != F.col("new_hash"), "U")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.functions.dates import utc_day
-from talkloom.functions.text import normalize_topic_title, overlap, significant_words
+from talkloom.functions.text import normalize_topic_title, overlap, significant_words, titlecase
+from talkloom.operators.merge import next_ids
 
 
 def topic_counters(links: DataFrame, dated: DataFrame) -> DataFrame:
@@ -139,8 +140,6 @@ def resolve_category(raw: DataFrame, column: str, categories: DataFrame, synonym
 
 def new_categories(resolved: DataFrame, column: str, categories: DataFrame) -> DataFrame:
     """(category_id, name): ids for names that nothing fits, in the order of the names; folded on distinct names only."""
-    from talkloom.functions.text import titlecase
-
     highest = categories.agg(F.max("category_id")).first()[0] or 0
     names = resolved.where("category_id is null").select(titlecase(F.trim(F.col(column))).alias("name")).distinct()
-    return names.withColumn("category_id", (F.row_number().over(Window.orderBy("name")) + highest).cast("long")).select("category_id", "name")
+    return next_ids(names, "category_id", highest, ["name"], 8).select("category_id", "name")

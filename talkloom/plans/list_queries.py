@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.functions import dates as dt
@@ -103,8 +103,6 @@ def usage_totals(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT c.chat_id, row_number() OVER (ORDER BY last DESC NULLS LAST, c.chat_id) AS position FROM {CHATS} c LEFT JOIN (SELECT chat_id, max(timestamp) AS last FROM messages GROUP BY 1) m USING (chat_id)")
 def presence_order(spark: SparkSession, folder: str) -> DataFrame:
     """Chats by their last message, silent ones last."""
-    from pyspark.sql import Window
-
     last = table(spark, folder, "messages").groupBy("chat_id").agg(F.max("timestamp").alias("last"))
     rows = current_chats(spark, folder).select("chat_id").join(last, "chat_id", "left")
     return rows.select("chat_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("last"), "chat_id")).cast("long").alias("position"))
@@ -115,14 +113,12 @@ def presence_order(spark: SparkSession, folder: str) -> DataFrame:
 )
 def name_order(spark: SparkSession, folder: str) -> DataFrame:
     """Titles with letters first; numbers inside them by value."""
-    from pyspark.sql import Window
-
     title = F.coalesce("title", F.lit(""))
     order = Window.orderBy(~title.rlike(r"\p{L}"), ls.natural_key(title), "chat_id")
     return current_chats(spark, folder).select("chat_id", "title", F.row_number().over(order).cast("long").alias("position"))
 
 
-@query(f"SELECT position, v.category_id, name FROM (SELECT unnest([9, 3, 99, 1]) AS category_id, unnest([0, 1, 2, 3]) AS position) v LEFT JOIN wiki_categories c USING (category_id)")
+@query("SELECT position, v.category_id, name FROM (SELECT unnest([9, 3, 99, 1]) AS category_id, unnest([0, 1, 2, 3]) AS position) v LEFT JOIN wiki_categories c USING (category_id)")
 def enrich_in_list_order(spark: SparkSession, folder: str) -> DataFrame:
     """Rows by a list of ids, in its order, unknown ones kept."""
     return ls.by_list(table(spark, folder, "wiki_categories").select("category_id", "name"), "category_id", [9, 3, 99, 1]).select("position", "category_id", "name")
@@ -130,14 +126,12 @@ def enrich_in_list_order(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT category_id, name, row_number() OVER (ORDER BY list_position([7, 2, 11], category_id) NULLS LAST, sort_order, category_id) AS position FROM wiki_categories")
 def recents_first(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
     at = F.nullif(F.array_position(F.array(*map(F.lit, (7, 2, 11))), F.col("category_id").cast("int")), F.lit(0))
     order = Window.orderBy(at.asc_nulls_last(), "sort_order", "category_id")
     return table(spark, folder, "wiki_categories").select("category_id", "name", F.row_number().over(order).cast("long").alias("position"))
 
 
-_ANCHOR = f"(SELECT chat_id FROM messages GROUP BY 1 ORDER BY count(*) DESC, chat_id LIMIT 1)"
+_ANCHOR = "(SELECT chat_id FROM messages GROUP BY 1 ORDER BY count(*) DESC, chat_id LIMIT 1)"
 
 
 @query(
@@ -171,7 +165,7 @@ def expand_groups(spark: SparkSession, folder: str) -> DataFrame:
 def distinct_until_changed(spark: SparkSession, folder: str) -> DataFrame:
     """Messages with which another sender takes over."""
     rows = table(spark, folder, "messages").groupBy("chat_id", "message_id").agg(F.max("sender_id").alias("sender_id"), F.min("timestamp").alias("t"))
-    return ls.changes_only(rows, ["chat_id"], [F.col("t"), F.col("message_id")], "sender_id").select("chat_id", "message_id", "sender_id")
+    return ls.changes_only(rows, ["chat_id"], ["t", "message_id"], "sender_id", F.floor(F.col("t") / 86400)).select("chat_id", "message_id", "sender_id")
 
 
 @query(
@@ -236,11 +230,9 @@ def picture_messages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chat_id", "message_id", tx.strip_variation(tx.strip_skin_tone(F.col("text"))).alias("text"))
 
 
-@query(f"SELECT topic_id, chat_id, message_id, k FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY timestamp DESC, chat_id, message_id) AS k FROM {DATED}) WHERE k <= 10".replace(", k FROM (SELECT *", ", CAST(k AS INTEGER) AS k FROM (SELECT *"))
+@query(f"SELECT topic_id, chat_id, message_id, CAST(k AS INTEGER) AS k FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY timestamp DESC, chat_id, message_id) AS k FROM {DATED}) WHERE k <= 10")
 def rewrite_evidence(spark: SparkSession, folder: str) -> DataFrame:
     """The newest ten pieces of evidence of each topic. Reduced where the rows are before the groups are formed."""
-    from pyspark.sql import Window
-
     # Ranked by an order that a window limit pushes down, so a large topic sends few rows.
     w = Window.partitionBy("topic_id").orderBy(F.desc("timestamp"), "chat_id", "message_id")
     return _dated(spark, folder).withColumn("k", F.row_number().over(w)).where("k <= 10").select("topic_id", "chat_id", "message_id", "k")

@@ -144,7 +144,7 @@ def keyed_list_diff(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "wiki_topics")
     old = rows.where("category_id is not null").groupBy("topic_id").agg(F.min_by("title_ko", "updated_at").alias("title_ko"))
     new = rows.where("title_ko is not null").groupBy("topic_id").agg(F.max_by("title_ko", "updated_at").alias("title_ko"))
-    return merge.diff(old, new, ["topic_id"], ["topic_id"])
+    return merge.diff(old, new, ["topic_id"], ["topic_id"], 8)
 
 
 @query(

@@ -226,10 +226,10 @@ def digest(spark: SparkSession, folder: str) -> DataFrame:
 def today_digest(spark: SparkSession, folder: str) -> DataFrame:
     """Topics and messages of the last days, and the three busiest topics."""
     n = _dated(spark, folder).where((F.col("timestamp") >= AS_OF - 86400 * 2) & (F.col("timestamp") < AS_OF)).groupBy("topic_id").agg(F.count("*").alias("n"))
-    total = n.agg(F.count("*").alias("topics"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages"))
+    total = n.agg(F.count("*").alias("topics"), F.coalesce(F.sum("n"), F.lit(0)).alias("messages")).first()
     top = n.orderBy(F.desc("n"), "topic_id").limit(3)
     top = top.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n"), "topic_id")))
-    return top.join(F.broadcast(total))
+    return top.withColumn("topics", F.lit(total.topics).cast("long")).withColumn("messages", F.lit(total.messages).cast("long"))
 
 
 @query(f"SELECT topic_id, title, lower(regexp_replace(title, '{WS}', '', 'g')) AS squeezed FROM {TOPICS} WHERE title IS NOT NULL")
@@ -312,7 +312,7 @@ def first_nonnull(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("topic_id").agg(F.min_by("title_ko", F.when(F.col("title_ko").isNotNull(), F.col("updated_at"))).alias("title_ko"))
 
 
-@query(f"SELECT topic_id, {_WORDS} AS w, len(w) AS n_words FROM {TOPICS} WHERE title IS NOT NULL".replace(f"{_WORDS} AS w, len(w) AS n_words", f"len({_WORDS}) AS n_words"))
+@query(f"SELECT topic_id, len({_WORDS}) AS n_words FROM {TOPICS} WHERE title IS NOT NULL")
 def significant_word_counts(spark: SparkSession, folder: str) -> DataFrame:
     rows = current_topics(spark, folder).where("title is not null")
     return rows.select("topic_id", F.size(F.array_distinct(tx.significant_words(F.col("title")))).cast("long").alias("n_words"))

@@ -11,11 +11,18 @@ from talkloom.operators.merge import latest_wins
 from talkloom.sources.store import VersionedTable
 
 
-def gaps(rows: DataFrame, groups: Sequence[str], number: str) -> DataFrame:
-    """(groups, first_missing, last_missing) of the numbers that are missing between those there."""
-    w = Window.partitionBy(*groups).orderBy(number)
-    pairs = rows.select(*groups, F.col(number).alias("a"), F.lead(number).over(w).alias("b"))
-    return pairs.where("b > a + 1").select(*groups, (F.col("a") + 1).alias("first_missing"), (F.col("b") - 1).alias("last_missing"))
+def gaps(rows: DataFrame, groups: Sequence[str], number: str, block: int = 65536) -> DataFrame:
+    """(groups, first_missing, last_missing) of the numbers that are missing between those there.
+
+    Numbers are looked at in blocks, then the ends of the blocks, so a large group is many windows.
+    Null numbers are ignored, repeated ones count once.
+    """
+    within = Window.partitionBy(*groups, "_b").orderBy("a")
+    numbers = rows.where(F.col(number).isNotNull()).select(*groups, F.col(number).alias("a"), F.floor(F.col(number) / block).alias("_b"))
+    inside = numbers.withColumn("b", F.lead("a").over(within)).select(*groups, "a", "b")
+    ends = numbers.groupBy(*groups, "_b").agg(F.min("a").alias("low"), F.max("a").alias("a"))
+    between = ends.withColumn("b", F.lead("low").over(Window.partitionBy(*groups).orderBy("_b"))).select(*groups, "a", "b")
+    return inside.unionByName(between).where("b > a + 1").select(*groups, (F.col("a") + 1).alias("first_missing"), (F.col("b") - 1).alias("last_missing"))
 
 
 def needs_snapshot(last_seq: int, oldest_seq: int) -> bool:

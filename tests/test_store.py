@@ -76,7 +76,7 @@ def test_replay_and_gaps(rows):
     once = changelog.replay(state, changes, ["k"])
     assert {tuple(r) for r in once.collect()} == {(1, 3, "a3"), (2, 5, "b"), (4, 1, "n")}
     assert changelog.needs_snapshot(4, 6) and not changelog.needs_snapshot(5, 6)
-    assert [tuple(r) for r in changelog.gaps(rows("c int, n long", [(1, 1), (1, 5), (1, 6)]), ["c"], "n").collect()] == [(1, 2, 4)]
+    assert [tuple(r) for r in changelog.gaps(rows("c int, n long", [(1, 1), (1, 5), (1, 6)]), ["c"], "n", 4).collect()] == [(1, 2, 4)]
     left = changelog.purge({"m": rows("chat_id long", [(1,), (2,)]), "x": rows("k long", [(1,)])}, rows("chat_id long", [(1,)]))
     assert left["m"].count() == 1 and left["x"].count() == 1
 
@@ -106,8 +106,10 @@ def test_lists(rows):
     assert lists.top_and_more(df, [F.desc("v"), F.col("g"), F.col("k")], 2).first().more == 2
     slices = {r.k: r.drawn for r in lists.raise_small(rows("k int, n long", [(1, 90), (2, 9), (3, 1), (4, 0)]), "n", 0.05).collect()}
     assert slices == {1: 89, 2: 8, 3: 4, 4: 0}
-    assert [r.k for r in lists.changes_only(rows(s, [(1, 1, 5), (1, 2, 5), (1, 3, None), (1, 4, None), (1, 5, 5)]), ["g"], [F.col("k")], "v").collect()] == [1, 3, 5]
+    assert [r.k for r in lists.changes_only(rows(s, [(1, 1, 5), (1, 2, 5), (1, 3, None), (1, 4, None), (1, 5, 5)]), ["g"], ["k"], "v", F.floor(F.col("k") / 2)).orderBy("k").collect()] == [1, 3, 5]
     assert [r.k for r in lists.around(df.where("g = 1"), "v", "k", (5, 2), 1, 5).orderBy("k").collect()] == [1, 2, 3]
+    times = rows("g int, t long", [(1, 0), (1, 5), (1, 9), (1, 10), (1, 21), (2, 9), (1, None)])
+    assert sorted((r.g, -1 if r.t is None else r.t, r.recent) for r in lists.sliding_count(times, ["g"], "t", 5).collect()) == [(1, -1, 0), (1, 0, 1), (1, 5, 2), (1, 9, 2), (1, 10, 3), (1, 21, 1), (2, 9, 1)]
     order = rows("t string", [("a10",), ("a9",), ("b1",)]).orderBy(lists.natural_key(F.col("t"))).collect()
     assert [r.t for r in order] == ["a9", "a10", "b1"]
 
