@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.llm.arrowtext import Rolling, code_points, mix, row_of
+from talkloom.llm.arrowtext import Rolling, code_points, mix, pieces, row_of
 from talkloom.operators.components import components
 from talkloom.session import cut
 
@@ -80,8 +80,7 @@ def fingerprints(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling, multipliers = Rolling(width), _multipliers()
         for big in batches:
-            for at in range(0, big.num_rows, 1024):
-                b = big.slice(at, 1024)
+            for b in pieces(big, "norm", 1 << 20):
                 found = symbols(*code_points(b.column("norm")), width, rolling, multipliers)
                 keys = table_keys(found)
                 ends = np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]

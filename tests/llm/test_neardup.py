@@ -75,7 +75,8 @@ def test_recall_of_the_index_by_similarity():
 
 
 def test_hot_copies_and_nothing(rows):
-    text = "".join(random.Random(3).choice(LETTERS) for _ in range(200))
+    rng = random.Random(3)
+    text = "".join(rng.choice(LETTERS) for _ in range(200))
     near = neardup.NearCopies(rows(S, [(1, i, text) for i in range(300)] + [(2, 0, text[:-1] + "!")]), ["chat_id", "norm"], "text")
     got = near.classes().collect()
     assert len(got) == 301 and len({r.class_id for r in got}) == 1 and {r.n_copies for r in got} == {300, 1} and {r.n_links for r in got} == {1}
