@@ -11,7 +11,7 @@ from talkloom.llm.mixture import Mixture
 from talkloom.llm.names import entities, entity_pairs
 from talkloom.llm.neardup import NearCopies
 from talkloom.llm.pii import find_personal, redact_column
-from talkloom.llm.spans import shared_pairs, shared_share, shared_windows
+from talkloom.llm.spans import shared_pairs, shared_share, windows_of
 from talkloom.llm.topn import top_n
 from talkloom.operators.links import dated_links, distinct_links
 from talkloom.sources.tables import table
@@ -58,7 +58,7 @@ def p6_canonical_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _shared(spark: SparkSession, folder: str) -> DataFrame:
-    return shared_windows(table(spark, folder, "documents"), "doc_id", "text", 200)
+    return windows_of(table(spark, folder, "documents"), "doc_id", "text", 200)
 
 
 _SHARED = """WITH w AS (SELECT doc_id, k, substr(text, k, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS k FROM documents WHERE length(text) >= 200)),

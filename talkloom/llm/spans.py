@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.arrowtext import Rolling, code_points, mix, row_of
@@ -146,7 +146,7 @@ def repeated_windows(rows: DataFrame, key: str, text: str, length: int) -> DataF
     window that stands in two records brings its minimiser in both, so none is lost, and about one in
     ``length`` / 8 positions is counted. Minimisers estimated repeated are grouped exactly; only records that
     hold a repeated one are read again, and only their windows over it come out. ``previous`` is the code
-    point before the window, null at the start of the text.
+    point before the window, -1 at the start of the text.
     """
     spark: SparkSession = rows.sparkSession
     part = max(1, length * 3 // 4)
@@ -193,14 +193,14 @@ def repeated_windows(rows: DataFrame, key: str, text: str, length: int) -> DataF
             row, start = row[keep], start[keep]
             if len(start):
                 at = start - offsets[row]
-                before = p[np.maximum(start - 1, 0)].astype(np.int32)
+                before = np.where(at == 0, -1, p[np.maximum(start - 1, 0)].astype(np.int32)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(first(p)[start].view(np.int64)),
                         pa.array((second(p)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                         b.column("key").take(pa.array(row)),
                         pa.array(at.astype(np.int32)),
-                        pa.array(before, mask=at == 0),
+                        pa.array(before),
                     ],
                     ["hash", "hash2", "key", "position", "previous"],
                 )
@@ -208,44 +208,42 @@ def repeated_windows(rows: DataFrame, key: str, text: str, length: int) -> DataF
     return rows.join(by_record, "key").mapInArrow(pick, "hash long, hash2 int, key long, position int, previous int")
 
 
-def shared_windows(rows: DataFrame, key: str, text: str, length: int) -> DataFrame:
-    """The windows that really stand in two records or more, with what their group needs for pairs.
+def windows_of(rows: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    """``repeated_windows``, written once. 96 bits of hash tell windows apart."""
+    return cut(repeated_windows(rows, key, text, length), "windows")
 
-    ``starts`` tells whether some two of the group's windows may begin a common span: their previous
-    characters differ, or a text begins there.
-    """
-    # 96 bits of hash tell windows apart.
-    found = cut(repeated_windows(rows, key, text, length), "windows")
-    groups = (
-        found.groupBy("hash", "hash2")
-        .agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("previous").alias("p"), F.max("previous").alias("q"), F.count_if(F.col("previous").isNull()).alias("n"))
-        .where("a <> b")
-        .select("hash", "hash2", F.expr("n > 0 or p <> q").alias("starts"))
-    )
-    return found.join(groups, ["hash", "hash2"])
+
+def _groups(windows: DataFrame) -> DataFrame:
+    """(hash, hash2, p, q) of the windows that really stand in two records or more."""
+    ends = windows.groupBy("hash", "hash2").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("previous").alias("p"), F.max("previous").alias("q"))
+    return ends.where("a <> b").select("hash", "hash2", "p", "q")
 
 
 def shared_pairs(windows: DataFrame) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: records with a common span. Each span of a pair is met once, at its beginning."""
-    starts = windows.where("starts").groupBy("hash", "hash2", "key", "previous").agg(F.count("*").alias("n"))
+    """(key_a, key_b), key_a < key_b: records with a common span. Each span of a pair is met once, at its beginning.
+
+    Only groups of windows of which some two may begin a span are looked at: their previous characters
+    differ, or a text begins there. These are few; they are written first, so that their size is known to the join.
+    """
+    first = cut(_groups(windows).where("p <> q or p = -1").select("hash", "hash2"), "starts")
+    starts = windows.join(first, ["hash", "hash2"], "left_semi").select("hash", "hash2", "key", "previous").distinct()
     a, b = (starts.select("hash", "hash2", F.col("key").alias(f"key_{x}"), F.col("previous").alias(f"p_{x}")) for x in "ab")
-    differ = F.col("key_a").__lt__(F.col("key_b")) & F.coalesce(F.col("p_a") != F.col("p_b"), F.lit(True))
+    differ = (F.col("key_a") < F.col("key_b")) & ((F.col("p_a") != F.col("p_b")) | (F.col("p_a") == -1))
     return a.join(b, ["hash", "hash2"]).where(differ).select("key_a", "key_b").distinct()
 
 
 def shared_share(windows: DataFrame, rows: DataFrame, key: str, text: str, length: int) -> DataFrame:
     """(key, n_chars, shared_chars, shared_share): how much of each record stands elsewhere too.
 
-    Covered are the characters of all shared windows; neighbouring windows are joined by their positions.
+    Covered are the characters of all windows shared; neighbouring windows are joined by their positions.
     Records with nothing shared come out with 0, null text as 0 characters, null keys not at all.
     """
-    from pyspark.sql import Window
-
+    shared = windows.join(_groups(windows), ["hash", "hash2"], "left_semi")
     order = Window.partitionBy("key").orderBy("position")
     gap = F.coalesce(F.col("position") - F.lag("position").over(order), F.lit(length))
-    covered = windows.select("key", "position").distinct().select("key", F.least(gap, F.lit(length)).alias("new")).groupBy("key").agg(F.sum("new").cast("long").alias("shared_chars"))
+    covered = shared.select("key", "position").distinct().select("key", F.least(gap, F.lit(length)).alias("new")).groupBy("key").agg(F.sum("new").cast("long").alias("shared_chars"))
     all_rows = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("n_chars"))
-    shared = F.coalesce("shared_chars", F.lit(0).cast("long"))
+    n_shared = F.coalesce("shared_chars", F.lit(0).cast("long"))
     return all_rows.join(covered, "key", "left").select(
-        "key", "n_chars", shared.alias("shared_chars"), F.round(shared / F.greatest("n_chars", F.lit(1)), 6).alias("shared_share")
+        "key", "n_chars", n_shared.alias("shared_chars"), F.round(n_shared / F.greatest("n_chars", F.lit(1)), 6).alias("shared_share")
     )

@@ -49,14 +49,14 @@ def test_like_brute_force_even_if_the_sketch_is_full(rows, monkeypatch, most_bit
     docs = make(most_bits)
     pairs, share = brute(docs)
     df = rows(S, docs).repartition(3)
-    windows = spans.shared_windows(df, "id", "text", N)
+    windows = spans.windows_of(df, "id", "text", N)
     got = [tuple(r) for r in spans.shared_pairs(windows).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
     assert {r.key: (r.n_chars, r.shared_chars) for r in spans.shared_share(windows, df, "id", "text", N).collect()} == share
 
 
 def test_nothing(rows):
-    windows = spans.shared_windows(rows(S), "id", "text", N)
+    windows = spans.windows_of(rows(S), "id", "text", N)
     assert spans.shared_pairs(windows).collect() == []
 
 
