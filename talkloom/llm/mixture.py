@@ -91,7 +91,8 @@ def budgets(leaves: list[dict], total: float) -> dict[tuple, float]:
         for c in children:
             share(c, parts[c])
 
-    share((), total)
+    if leaves:
+        share((), total)
     return out
 
 

@@ -39,11 +39,11 @@ def docs():
 
 def test_shares_repeats_and_prefix(rows, docs):
     extra = [(9000, None, "en", "big"), (9001, "", None, "big"), (None, "x", "en", "big")]
-    targets = [("big", 0.4, 1), ("small", 0.3, 4), ("tiny", 0.3, 2), ("absent", 0.1, 3), (None, 0.5, 1)]
+    targets = [("big", 0.4, 1), ("small", 0.3, 8), ("tiny", 0.3, 2), ("absent", 0.1, 3), (None, 0.5, 1)]
     mix = Mixture(rows(DOCS, docs + extra), rows(TARGETS, targets), {"big": "d", "small": "d"})
     drawn = mix.drawn().collect()
     assert len(drawn) == len({r.doc_id for r in drawn})
-    limit = {"big": 1, "small": 4, "tiny": 2}
+    limit = {"big": 1, "small": 8, "tiny": 2}
     assert all(1 <= r.uses <= limit[r.source] for r in drawn)
     share = {r.source: r for r in mix.shares().collect()}
     assert share.keys() == {"big", "small", "tiny", "absent"} and share["absent"].tokens_drawn == 0
