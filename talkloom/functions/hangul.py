@@ -32,6 +32,17 @@ def decompose_jamo(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+#: The syllables without final, by rule.
+_OPEN = "".join(map(chr, range(0xAC00, 0xAC00 + 11172, 28)))
+
+
+def jamo_length(text: Column) -> Column:
+    """Characters of ``decompose_jamo(text)`` without making it: a syllable is three letters, or two without final."""
+    whole = F.char_length(F.regexp_replace(text, "[^가-힣]", ""))
+    # Length plus two for each syllable less one for each open one; the open ones are what translating them away removes.
+    return F.char_length(F.translate(text, _OPEN, "")) + 2 * whole
+
+
 def has_bare_jamo(text: Column) -> Column:
     """Whether a letter stands alone, outside a syllable."""
     return text.rlike("[ㄱ-ㅎㅏ-ㅣ]")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkloom.functions.hangul import decompose_jamo, jamo
+from talkloom.functions.hangul import decompose_jamo, jamo, jamo_length
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 PAGE = 30
@@ -60,11 +60,11 @@ def _contains(columns: Sequence[Column], phrase: str) -> Column:
     return reduce(lambda a, b: a | b, (c.contains(phrase) for c in columns))
 
 
-def matches(plan: Plan, columns: Sequence[Column]) -> Column:
-    """Any variant of which every term occurs in one of the columns."""
+def matches(plan: Plan, columns) -> Column:
+    """Any variant of which every term occurs in one of its columns (a function of the term)."""
     if not plan.variants:
         return F.lit(False)
-    every = [reduce(lambda a, b: a & b, (_contains(columns, t) for t in v)) for v in plan.variants]
+    every = [reduce(lambda a, b: a & b, (_contains(columns(t), t) for t in v)) for v in plan.variants]
     return reduce(lambda a, b: a | b, every)
 
 
@@ -83,19 +83,28 @@ def bm25(messages: DataFrame, query: str) -> DataFrame:
     rows of the corpus, but a message comes out once, at its earliest time. Null text counts as empty.
     """
     plan = plan_query(query)
-    forms = search_columns(F.col("text"))
-    rows = messages.select("chat_id", "message_id", "timestamp", "text", *(c.alias(f"_{n}") for n, c in forms.items()))
-    columns = [F.col(f"_{n}") for n in forms]
-    length = reduce(lambda a, b: a + b, (F.greatest(F.char_length(c) - 2, F.lit(0)) for c in columns))
     if not plan.variants:
         none = F.lit(0.0)
         return messages.select("chat_id", "message_id", "timestamp", "text", none.alias("rank"), F.lit(0).alias("tf_total")).limit(0)
+    forms = search_columns(F.col("text"))
+    if not _needs_jamo(plan):
+        del forms["jamo"]
+    rows = messages.select("chat_id", "message_id", "timestamp", "text", *(c.alias(f"_{n}") for n, c in forms.items()))
+    content, nospace = F.col("_content"), F.col("_nospace")
+
+    def columns(phrase: str) -> list[Column]:
+        """Where a phrase can occur. Outside Hangul the letters are the text itself; syllables never are letters."""
+        if re.search("[ㄱ-ㅎㅏ-ㅣ]", phrase):
+            return [content, F.col("_jamo"), nospace]
+        return [content, nospace] if re.search("[가-힣]", phrase) else [content, content, nospace]
+
+    length = reduce(lambda a, b: a + b, (F.greatest(n - 2, F.lit(0)) for n in (F.char_length(content), jamo_length(content), F.char_length(nospace))))
     phrases = plan.phrases
-    figures = rows.agg(F.count("*").alias("n"), F.avg(length).alias("d"), *(F.count_if(_contains(columns, p)).alias(f"p{k}") for k, p in enumerate(phrases))).first()
+    figures = rows.agg(F.count("*").alias("n"), F.avg(length).alias("d"), *(F.count_if(_contains(columns(p), p)).alias(f"p{k}") for k, p in enumerate(phrases))).first()
     mean = figures.d or 1.0
     score, total = F.lit(0.0), F.lit(0)
     for k, p in enumerate(phrases):
-        tf = reduce(lambda a, b: a + b, (occurrences(c, p) for c in columns))
+        tf = reduce(lambda a, b: a + b, (occurrences(c, p) for c in columns(p)))
         n = figures[f"p{k}"]
         idf = F.greatest(F.ln(F.lit((figures.n - n + 0.5) / (n + 0.5))), F.lit(LEAST_IDF))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
