@@ -1,6 +1,6 @@
 """Near copies by multi-index hashing.
 
-A text's fingerprint is 12 segments of 6 symbols, each symbol the least hash of its shingles under one
+A text's fingerprint is 28 segments of 6 symbols, each symbol the least hash of its shingles under one
 hash function; two texts differ in a symbol with the probability that they lack similarity. Around every
 segment the Hamming ball of radius 1 is enumerated by leaving out each symbol in turn; texts that meet
 in a table entry are compared by the distance of their complete fingerprints (one bit a symbol), and
@@ -20,9 +20,9 @@ from talkloom.llm.arrowtext import Rolling, code_points, mix, pieces, row_of
 from talkloom.operators.components import components
 from talkloom.session import cut
 
-SEGMENTS, SYMBOLS = 12, 6
-#: Bits of 64 in which the fingerprints of a pair may differ: at similarity 0.6 they differ in 12.8 +- 3.2.
-MOST_BITS = 24
+SEGMENTS, SYMBOLS = 28, 6
+#: Bits of 64 in which the fingerprints of a pair may differ: at similarity 0.6 they differ in 12.8 +- 3.2, in more than these with chance 4e-5.
+MOST_BITS = 26
 
 
 def squeezed(text: Column) -> Column:
@@ -30,8 +30,8 @@ def squeezed(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)\s+", ""))
 
 
-def _multipliers() -> np.ndarray:
-    return mix(np.arange(1, SEGMENTS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+def _multipliers(count: int = 72) -> np.ndarray:
+    return mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def symbols(p: np.ndarray, offsets: np.ndarray, width: int, rolling: Rolling, multipliers: np.ndarray) -> np.ndarray:
@@ -60,11 +60,11 @@ def symbols(p: np.ndarray, offsets: np.ndarray, width: int, rolling: Rolling, mu
 
 
 def table_keys(found: np.ndarray) -> np.ndarray:
-    """For each text SEGMENTS x SYMBOLS keys: each segment without one of its symbols."""
+    """For each text as many keys as symbols: each segment without one of its symbols."""
     weight = mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)
-    parts = mix(found).reshape(len(found), SEGMENTS, SYMBOLS) * weight
+    parts = mix(found).reshape(len(found), found.shape[1] // SYMBOLS, SYMBOLS) * weight
     whole = parts.sum(axis=2, dtype=np.uint64)
-    place = np.arange(SEGMENTS * SYMBOLS, dtype=np.uint64).reshape(SEGMENTS, SYMBOLS) * np.uint64(0xD1B54A32D192ED03)
+    place = np.arange(found.shape[1], dtype=np.uint64).reshape(-1, SYMBOLS) * np.uint64(0xD1B54A32D192ED03)
     return mix((whole[:, :, None] - parts) ^ place).reshape(len(found), -1)
 
 
@@ -78,7 +78,7 @@ def fingerprints(texts: DataFrame, width: int) -> DataFrame:
     """(tid, bits, keys) of ``texts`` (tid, norm)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling, multipliers = Rolling(width), _multipliers()
+        rolling, multipliers = Rolling(width), _multipliers(SEGMENTS * SYMBOLS)
         for big in batches:
             for b in pieces(big, "norm", 1 << 20):
                 found = symbols(*code_points(b.column("norm")), width, rolling, multipliers)

@@ -74,6 +74,19 @@ def test_recall_of_the_index_by_similarity():
         assert met / 300 >= least
 
 
+def test_recall_just_over_the_threshold(rows):
+    """Pairs of texts of similarity 0.60 to 0.65 against brute force."""
+    rng = random.Random(7)
+    data = []
+    for i in range(400):
+        base, other = ("".join(rng.choice(LETTERS) for _ in range(200)) for _ in "ab")
+        at = 151 + i % 6
+        data += [(i, 0, base), (i, 1, base[:at] + other[at:])]
+    want = {(c, 0, c, 1) for c in range(400) if (pair := brute(data[2 * c : 2 * c + 2])) and 0.6 <= pair[c, 0, c, 1] <= 0.65}
+    got = {tuple(r) for r in neardup.NearCopies(rows(S, data), ["chat_id", "norm"], "text").pairs().collect()}
+    assert len(want) > 300 and want <= got
+
+
 def test_hot_copies_and_nothing(rows):
     rng = random.Random(3)
     text = "".join(rng.choice(LETTERS) for _ in range(200))
