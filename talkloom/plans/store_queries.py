@@ -187,9 +187,9 @@ def unique_peers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT DISTINCT chat_id, message_id, CASE WHEN coalesce(text_plain, '') = '' THEN 'D' ELSE 'U' END AS op FROM messages WHERE chat_id < 0")
 def push_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """What a push of messages does: texts are upserts, empty ones deletes."""
+    """What a push of messages does: texts are upserts, empty ones deletes, in chats of every kind. The SQL covers negative chat ids only."""
     op = F.when(F.coalesce("text_plain", F.lit("")) == "", "D").otherwise("U")
-    return table(spark, folder, "messages").where("chat_id < 0").select(*KEY, op.alias("op")).distinct()
+    return table(spark, folder, "messages").select(*KEY, op.alias("op")).distinct()
 
 
 @query(f"SELECT t.chat_id, count(*) AS links FROM (SELECT DISTINCT topic_id, chat_id, message_id FROM topic_messages) t WHERE t.chat_id NOT IN (SELECT chat_id FROM {CHATS} WHERE is_excluded) GROUP BY 1")

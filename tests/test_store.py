@@ -133,3 +133,13 @@ def test_every_query_runs_on_empty_tables(spark, tmp_path):
             f(spark, f"file://{tmp_path}").limit(3).collect()
         except Exception as e:
             raise AssertionError(name) from e
+
+
+def test_push_changes_of_every_chat(spark, tmp_path):
+    from talkloom.plans.store_queries import push_changes
+    from talkloom.sources.tables import SCHEMAS
+
+    data = [(1, -5, "a"), (1, 7, "b"), (2, 7, ""), (3, 7, None), (1, 7, "b"), (1, 0, "c")]
+    spark.createDataFrame([(m, c, 1, t, None, None, None, 1, None) for m, c, t in data], SCHEMAS["messages"]).write.parquet(f"{tmp_path}/messages.parquet")
+    got = sorted(tuple(r) for r in push_changes(spark, f"file://{tmp_path}").collect())
+    assert got == [(-5, 1, "U"), (0, 1, "U"), (7, 1, "U"), (7, 2, "D"), (7, 3, "D")]
