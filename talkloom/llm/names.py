@@ -324,10 +324,10 @@ def entities(topics: DataFrame, key: str = "topic_id", title: str = "title", tit
     x, y = replaced.alias("x"), both_ways.alias("y")
     by_parts = x.join(y, (F.col("x.u") == F.col("y.first")) & (F.col("x.v") == F.col("y.second"))).where(agree & (F.col("x.node") != F.col("y.node")))
     by_parts = by_parts.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # One part the same, the other farther off.
+    # One part the same, the other farther off; an exchange is one step of the metric and two of Levenshtein.
     x, y = both_ways.where("length(first) > 1 and length(second) > 3").alias("x"), both_ways.where("length(first) > 1 and length(second) > 3").alias("y")
     far = (F.col("x.node") < F.col("y.node")) & (F.greatest(F.length("x.second"), F.length("y.second")) >= 6) & (F.abs(F.length("x.second") - F.length("y.second")) <= 2)
-    by_one = x.join(y, (F.col("x.first") == F.col("y.first")) & far & agree & (F.levenshtein("x.second", "y.second", 3) >= 0))
+    by_one = x.join(y, (F.col("x.first") == F.col("y.first")) & far & agree & (F.levenshtein("x.second", "y.second", 4) >= 0))
     by_one = by_one.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.second").alias("p"), F.col("y.second").alias("q")).mapInArrow(_verified(2), "a long, b long")
     edges = full.select(F.col("id").alias("a"), F.col("node").alias("b")).unionByName(by_parts).unionByName(by_one)
     first = cut(components(edges).where("node >= 0"), "entities")

@@ -79,3 +79,12 @@ def test_entities(rows):
     pairs = names.entity_pairs(rows("topic_id long, entity_id long", list(got.items())), "topic_id").collect()
     assert len(pairs) == 36 + 3 + 1
     assert names.entities(rows("topic_id long, title string, title_ko string")).collect() == []
+
+
+def test_two_exchanges_in_one_part(rows):
+    data = [(1, "Kusihe Gehekebi", None), (2, "Kusihe Egheekbi", None), (3, "Kusihe Egheekib", None)]
+    assert [names.distance("gehekebi", x) for x in ("egheekbi", "egheekib")] == [2, 3]
+    got = {r.topic_id: r.entity_id for r in names.entities(rows("topic_id long, title string, title_ko string", data[:2])).collect()}
+    assert got == {1: 1, 2: 1}
+    got = {r.topic_id: r.entity_id for r in names.entities(rows("topic_id long, title string, title_ko string", data[::2])).collect()}
+    assert got == {1: 1, 3: 3}
