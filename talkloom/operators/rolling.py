@@ -67,12 +67,16 @@ def advance(state: DataFrame, arrivals: DataFrame, day: str, windows: Sequence[i
     """The rows of ``day`` (YYYY-MM-DD): yesterday's totals joined with today's arrivals and the expiring days' amounts.
 
     ``state`` is (entity, day, amount, total_w...), ``arrivals`` (entity, amount). Entities known yesterday
-    go on with amount 0; new entities start. Reads only the partition of yesterday and of the expiring days.
+    go on with amount 0; others start with what the state has of the longest window, so one that returns keeps
+    its amounts. Days without a row in between get none. Reads the days of the longest window.
     """
     today = F.lit(day).cast("date")
     at = lambda back: state.where(F.col("day") == F.date_sub(today, back))
+    age = F.date_diff(today, F.col("day"))
+    sums = (F.sum(F.when(age <= w, F.col("amount"))).alias(f"s_total_{w}") for w in windows)
+    recent = state.where((age >= 1) & (age <= max(windows))).groupBy("entity").agg(*sums)
     out = at(1).select("entity", *(F.col(t).alias(f"y_{t}") for t in _totals(windows)))
-    out = out.join(arrivals.select("entity", F.col("amount").alias("a")), "entity", "full")
+    out = out.join(arrivals.select("entity", F.col("amount").alias("a")), "entity", "full").join(recent, "entity", "left")
     for w in windows:
         out = out.join(at(w).select("entity", F.col("amount").alias(f"x_{w}")), "entity", "left")
     zero = F.lit(0).cast("long")
@@ -81,7 +85,7 @@ def advance(state: DataFrame, arrivals: DataFrame, day: str, windows: Sequence[i
         today.alias("day"),
         F.coalesce("a", zero).alias("amount"),
         *(
-            (F.coalesce(f"y_total_{w}", zero) + F.coalesce("a", zero) - F.coalesce(f"x_{w}", zero)).alias(f"total_{w}")
+            (F.coalesce(f"y_total_{w}", f"s_total_{w}", zero) + F.coalesce("a", zero) - F.coalesce(f"x_{w}", zero)).alias(f"total_{w}")
             for w in windows
         ),
     )

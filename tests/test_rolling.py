@@ -69,3 +69,14 @@ def test_corrections_touch_only_their_dates(rows, spark):
     assert table(state.latest(1)) == before
     mixed = rows("entity long, day date, on_time long, late long", [(*k, daily.get(k, 0), late.get(k, 0)) for k in both])
     assert table(rolling_state(spark, mixed, scratch_dir(spark, "state"))) == want
+
+
+def test_advance_of_a_returning_entity(rows):
+    import datetime
+
+    from talkloom.operators import rolling
+
+    day = datetime.date
+    daily = rows("entity long, day date, amount long", [(1, day(2025, 1, 1), 3), (1, day(2025, 1, 28), 5), (2, day(2025, 1, 30), 2)])
+    got = rolling.advance(rolling.roll(daily), rows("entity long, amount long", [(1, 4), (3, 1)]), "2025-01-31")
+    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in got.collect()) == [(1, 4, 9, 9), (2, 0, 2, 2), (3, 1, 1, 1)]
