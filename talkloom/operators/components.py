@@ -14,16 +14,18 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     Large-star and small-star steps in turn: every step links a node's neighbours to its least neighbour,
     which halves paths and keeps the number of edges. Minima are combined before the shuffle, so hubs cost
     no more than other nodes; each round is written to the shared folder. Self-loops, repeated edges and
-    nulls do no harm; no edges give no rows.
+    nulls do no harm; no edges give no rows. If edges still change after ``rounds`` steps, that is an error.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     loops = e.where("a = b").select("a").distinct()
     e = cut(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for _ in range(rounds):
+    for step in range(rounds + 1):
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == state or not now[0]:
             break
+        if step == rounds:
+            raise RuntimeError(f"components: edges still changed in round {rounds}")
         state = now
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

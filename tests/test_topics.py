@@ -87,3 +87,14 @@ def test_components(rows):
     got = {r.node: r.component for r in components(rows("a long, b long", edges)).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(rows("a long, b long")).collect() == []
+
+
+def test_components_that_are_not_done(rows):
+    import pytest
+
+    from talkloom.operators.components import components
+
+    path = rows("a long, b long", [(i, i + 1) for i in range(20)])
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)
+    assert {tuple(r) for r in components(path).collect()} == {(i, 0) for i in range(21)}
