@@ -43,9 +43,17 @@ def purge(tables: dict[str, DataFrame], chats: DataFrame) -> dict[str, DataFrame
 
 
 def apply_stream(spark: SparkSession, changes: DataFrame, target: VersionedTable, keys: Sequence[str], checkpoint: str, version: str = "version"):
-    """A streaming query that keeps ``target`` at the latest versions. Batches are committed once, whatever is repeated."""
+    """A streaming query that keeps ``target`` at the latest versions. Batches are committed once, whatever is repeated.
+
+    Only the parts of ``target`` (buckets of ``keys``) in which a batch has keys are read and written again.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        target.commit(replay(target.read(), latest_wins(df, keys, [version, "op"]), keys, version), batch_id)
+        changes = latest_wins(df, keys, [version, "op"])
+        df.persist()
+        try:
+            target.merge(changes, lambda old, new: replay(old, new, keys, version), batch_id)
+        finally:
+            df.unpersist()
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

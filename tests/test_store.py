@@ -69,6 +69,48 @@ def test_versions_are_whole_and_batches_count_once(spark, rows, tmp_path):
     assert t.read().count() == 0
 
 
+def test_only_touched_parts_are_written(spark, rows, tmp_path):
+    s = "k long, n long"
+    t = store.VersionedTable(spark, f"file://{tmp_path}/b", s, ["k"], 8)
+    t.commit(rows(s, [(i, 0) for i in range(40)]))
+    before = t.parts()
+    change = rows(s, [(3, 9), (77, 9)])
+    touched = set(t.parts_of(change))
+    t.merge(change, lambda old, new: old.join(new.select("k"), "k", "left_anti").unionByName(new), 5)
+    now = t.parts()
+    assert {p for p in now if now[p] != before.get(p)} == touched and len(touched) <= 2
+    assert {tuple(r) for r in t.read().collect()} == {(i, 0) for i in range(40) if i != 3} | {(3, 9), (77, 9)}
+    assert t.merge(change, lambda old, new: new, 5) == 2  # a batch that came before
+    with pytest.raises(ValueError):
+        t.commit(rows(s, [(i, 1) for i in range(40)]), only=["0"])
+    assert t.version() == 2
+    t.merge(rows(s, [(3, 1)]), lambda old, new: old.where("k <> 3"))
+    assert t.read().where("k = 3").count() == 0
+    assert t.vacuum() == 0 or t.read().count() == 40
+    assert t.read().count() == 40
+
+
+def test_a_fault_of_the_file_system_is_no_empty_table(spark, rows, tmp_path):
+    t = store.VersionedTable(spark, f"file://{tmp_path}/f", "k long")
+    t.commit(rows("k long", [(1,)]))
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def listStatus(self, path):
+            raise OSError("away")
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    fs, t._fs = t._fs, Broken(t._fs)
+    with pytest.raises(OSError):
+        t.commit(rows("k long", [(2,)]))
+    t._fs = fs
+    assert t.version() == 1 and [r.k for r in t.read().collect()] == [1]
+
+
 def test_replay_and_gaps(rows):
     s = "k long, version long, text string"
     state = rows(s, [(1, 2, "a"), (2, 5, "b"), (3, 1, "c")])
@@ -84,14 +126,14 @@ def test_replay_and_gaps(rows):
 def test_streams(spark, rows, tmp_path):
     schema = "k long, version long, text string, op string"
     rows(schema, [(1, 1, "a", "U"), (2, 1, "b", "U"), (1, 2, "a2", "U")]).write.json(f"{tmp_path}/in")
-    target = store.VersionedTable(spark, f"file://{tmp_path}/out", "k long, version long, text string")
+    target = store.VersionedTable(spark, f"file://{tmp_path}/out", "k long, version long, text string", ["k"], 4)
     run = lambda: changelog.apply_stream(spark, spark.readStream.schema(schema).json(f"{tmp_path}/in"), target, ["k"], f"{tmp_path}/cp").awaitTermination()
     run()
     rows(schema, [(2, 3, None, "D"), (1, 1, "stale", "U")]).write.mode("append").json(f"{tmp_path}/in")
     run()
     assert {tuple(r) for r in target.read().collect()} == {(1, 2, "a2")}
     rows("chat_id long, timestamp long", [(1, 10), (1, 20), (1, 86500), (2, 5)]).write.json(f"{tmp_path}/ev")
-    counts = store.VersionedTable(spark, f"file://{tmp_path}/counts", "chat_id long, day date, n long")
+    counts = store.VersionedTable(spark, f"file://{tmp_path}/counts", "chat_id long, day date, n long", by="day")
     stream = lambda: rollup.keep_latest(rollup.daily_counts(spark.readStream.schema("chat_id long, timestamp long").json(f"{tmp_path}/ev"), "chat_id", "timestamp"), counts, f"{tmp_path}/cp2").awaitTermination()
     stream()
     rows("chat_id long, timestamp long", [(1, 30)]).write.mode("append").json(f"{tmp_path}/ev")
