@@ -23,10 +23,10 @@ def p1_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_rolling(spark: SparkSession, folder: str) -> DataFrame:
-    """Amounts count as late if their message first arrived more than a day after its own time."""
+    """A day is closed when it ends: messages that first arrived on a later UTC day than their own are corrections."""
     links = dated_links(spark, folder, distinct_links(spark, folder), arrival=True)
     day = F.to_date(F.timestamp_seconds("timestamp"))
-    late = F.unix_timestamp("arrived") - F.col("timestamp") > 86400
+    late = F.to_date("arrived") > day
     daily = (
         links.where("timestamp is not null")
         .groupBy(F.col("topic_id").alias("entity"), day.alias("day"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkloom.operators.rolling import State, advance
+from talkloom.operators.rolling import State, daily_amounts
 from talkloom.sources.store import VersionedTable
 
 
@@ -21,15 +23,19 @@ def hourly_counts(events: DataFrame, time: str, entity: str, late: str = "2 days
 
 
 def keep_latest(counts: DataFrame, target: VersionedTable, checkpoint: str):
-    """Writes updated counts over those of the same entity and day."""
+    """Writes updated counts over those of the same entity and day; parts of ``target`` without an update keep their files."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         keys = [c for c in df.columns if c != "n"]
-        target.commit(target.read().join(df.select(*keys), keys, "left_anti").unionByName(df), batch_id)
+        df.persist()
+        try:
+            target.merge(df, lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new), batch_id)
+        finally:
+            df.unpersist()
 
     return counts.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def advance_daily(state: State, version: int, arrivals: DataFrame, day: str) -> None:
-    """Appends the rows of one more day to a rolling state, as the next version."""
-    state.append(advance(state.latest(version), arrivals, day, state.windows), version + 1)
+def advance_daily(state: State, events: DataFrame, entity: str, day: dt.date) -> int:
+    """Takes a rolling state on to ``day`` by the events of that day (entity, day); returns the version committed."""
+    return state.advance(daily_amounts(events.where(F.col("day") == F.lit(day).cast("date")), entity, "day", F.count("*")), day)

@@ -1,8 +1,9 @@
 import datetime as dt
 import random
 
-from talkloom.operators.rolling import State, advance, correct, roll, rolling_state
+from talkloom.operators.rolling import State, filled, rolling_state
 from talkloom.session import scratch_dir
+from talkloom.streaming.rollup import advance_daily
 
 D0 = dt.date(2025, 1, 1)
 SCHEMA = "entity long, day date, amount long"
@@ -20,63 +21,75 @@ def brute(daily):
 
 
 def table(df):
-    return {(r.entity, r.day): (r.amount, r.total_7, r.total_30) for r in df.collect()}
+    rows = df.collect()
+    out = {(r.entity, r.day): (r.amount, r.total_7, r.total_30) for r in rows}
+    assert len(out) == len(rows)
+    return out
 
 
-def random_daily(seed, n=150):
+def random_daily(seed, n=150, days=120):
     rng = random.Random(seed)
-    return {(rng.randrange(6), D0 + dt.timedelta(rng.randrange(120))): rng.randrange(1, 5) for _ in range(n)}
+    return {(rng.randrange(6), D0 + dt.timedelta(rng.randrange(days))): rng.randrange(1, 5) for _ in range(n)}
+
+
+def as_rows(rows, x):
+    return rows(SCHEMA, [(e, d, n) for (e, d), n in x.items()])
 
 
-def test_roll_matches_brute_force(rows):
-    daily = random_daily(1)
-    assert table(roll(rows(SCHEMA, [(e, d, n) for (e, d), n in daily.items()]))) == brute(daily)
-    assert roll(rows(SCHEMA)).collect() == []
+def test_runs_of_any_length_match_brute_force(rows, spark):
+    daily = random_daily(1) | {(77, D0): 3, (77, D0 + dt.timedelta(95)): 2}
+    mixed = rows("entity long, day date, on_time long, late long", [(*k, n, 0) for k, n in daily.items()])
+    for run in (25, 200):
+        assert table(rolling_state(spark, mixed, scratch_dir(spark, "state"), run=run)) == brute(daily)
+    assert rolling_state(spark, mixed.limit(0), scratch_dir(spark, "state")).collect() == []
 
 
-def test_advance_day_by_day_is_the_same(rows, spark):
-    daily = random_daily(2, 60)
-    daily = {k: v for k, v in daily.items() if k[1] < D0 + dt.timedelta(45)}
-    last = max(d for _, d in daily)
-    known = {k: v for k, v in daily.items() if k[1] <= D0 + dt.timedelta(41)}
-    ends = {e: max(d for x, d in known if x == e) for e, _ in known}
-    start = {k: v for k, v in brute({**known, **{(e, D0 + dt.timedelta(41)): known.get((e, D0 + dt.timedelta(41)), 0) for e in ends}}).items()}
-    state = rows("entity long, day date, amount long, total_7 long, total_30 long", [(*k, *v) for k, v in start.items()])
-    for k in range(42, (last - D0).days + 1):
+def test_a_day_opens_three_days_and_replaces_one(rows, spark, monkeypatch):
+    daily = random_daily(2, 60, 45)
+    state = State(spark, scratch_dir(spark, "state"))
+    state.advance(as_rows(rows, daily), D0, D0 + dt.timedelta(41))
+    opened = []
+    read = state.read
+    monkeypatch.setattr(state, "read", lambda days=None, version=None: opened.extend(days or []) or read(days, version))
+    before = state.table.parts()
+    events = rows("e long, day date", [(e, d) for (e, d), n in daily.items() for _ in range(n)] + [(None, D0 + dt.timedelta(42))])
+    for k in range(42, 45):
+        opened.clear()
         d = D0 + dt.timedelta(k)
-        arrivals = rows("entity long, amount long", [(e, n) for (e, x), n in daily.items() if x == d])
-        state = spark.createDataFrame(state.unionByName(advance(state, arrivals, str(d))).collect(), state.schema)
-    got, want = table(state), brute(daily)
-    assert all(got[k] == v for k, v in want.items())
+        advance_daily(state, events, "e", d)
+        assert sorted(set(opened)) == [d - dt.timedelta(x) for x in (30, 7, 1)]
+    assert {k: v for k, v in state.table.parts().items() if k in before} == before
+    monkeypatch.undo()
+    want = {k: v for k, v in brute(daily).items()}
+    assert table(filled(state.read())) == want
 
 
 def test_corrections_touch_only_their_dates(rows, spark):
     rng = random.Random(3)
     daily = random_daily(3)
-    late = {(rng.randrange(8), D0 + dt.timedelta(rng.randrange(-10, 140))): rng.randrange(1, 4) for _ in range(12)}
-    make = lambda x: rows(SCHEMA, [(e, d, n) for (e, d), n in x.items()])
+    late = {(rng.randrange(8), D0 + dt.timedelta(rng.randrange(60, 70))): rng.randrange(1, 4) for _ in range(12)}
     both = dict(daily)
     for k, n in late.items():
         both[k] = both.get(k, 0) + n
-    fixed, want, before = table(correct(make(daily), make(late))), brute(both), brute(daily)
-    assert all(want[k] == v for k, v in fixed.items())
-    assert {k for k in want if want[k] != before.get(k)} <= set(fixed)
-    assert len(fixed) < len(want)
     state = State(spark, scratch_dir(spark, "state"))
-    state.append(roll(make(daily)), 1)
-    state.append(correct(make(daily), make(late)), 2)
-    assert table(state.latest(2)) == want
-    assert table(state.latest(1)) == before
-    mixed = rows("entity long, day date, on_time long, late long", [(*k, daily.get(k, 0), late.get(k, 0)) for k in both])
-    assert table(rolling_state(spark, mixed, scratch_dir(spark, "state"))) == want
-
-
-def test_advance_of_a_returning_entity(rows):
-    import datetime
-
-    from talkloom.operators import rolling
-
-    day = datetime.date
-    daily = rows("entity long, day date, amount long", [(1, day(2025, 1, 1), 3), (1, day(2025, 1, 28), 5), (2, day(2025, 1, 30), 2)])
-    got = rolling.advance(rolling.roll(daily), rows("entity long, amount long", [(1, 4), (3, 1)]), "2025-01-31")
-    assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in got.collect()) == [(1, 4, 9, 9), (2, 0, 2, 2), (3, 1, 1, 1)]
+    end = D0 + dt.timedelta(119)
+    state.advance(as_rows(rows, daily), D0, end)
+    old = state.table.parts()
+    state.correct(as_rows(rows, late), end)
+    now = state.table.parts()
+    touched = {(d + dt.timedelta(k)).isoformat() for _, d in late for k in range(30)}
+    assert {d for d in now if now[d] != old.get(d)} == touched
+    assert table(filled(state.read())) == brute(both)
+    assert table(filled(state.read(version=1))) == brute(daily)
+    mixed = rows("entity long, day date, on_time long, late long", [(*k, daily.get(k, 0), late.get(k, 0)) for k in both] + [(None, D0, 1, 1), (1, None, 1, 1)])
+    assert table(rolling_state(spark, mixed, scratch_dir(spark, "state"))) == brute(both)
+
+
+def test_an_entity_that_returns(rows, spark):
+    daily = {(1, D0): 3, (1, D0 + dt.timedelta(27)): 5, (1, D0 + dt.timedelta(30)): 4, (2, D0 + dt.timedelta(29)): 2, (1, D0 + dt.timedelta(80)): 1}
+    state = State(spark, scratch_dir(spark, "state"))
+    for a, b in ((0, 29), (30, 30), (31, 79), (80, 80)):
+        state.advance(as_rows(rows, daily), D0 + dt.timedelta(a), D0 + dt.timedelta(b))
+    assert table(filled(state.read())) == brute(daily)
+    assert max(d for d in state.days()) == D0 + dt.timedelta(80)
+    assert D0 + dt.timedelta(70) not in state.days()  # nothing known of any entity by then
