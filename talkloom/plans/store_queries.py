@@ -185,9 +185,9 @@ def unique_peers(spark: SparkSession, folder: str) -> DataFrame:
     return first_occurrence(known.unionByName(named), ["chat_id"], ["p"]).drop("p")
 
 
-@query("SELECT DISTINCT chat_id, message_id, CASE WHEN coalesce(text_plain, '') = '' THEN 'D' ELSE 'U' END AS op FROM messages WHERE chat_id < 0")
+@query("SELECT DISTINCT chat_id, message_id, CASE WHEN coalesce(text_plain, '') = '' THEN 'D' ELSE 'U' END AS op FROM messages")
 def push_changes(spark: SparkSession, folder: str) -> DataFrame:
-    """What a push of messages does: texts are upserts, empty ones deletes, in chats of every kind. The SQL covers negative chat ids only."""
+    """What a push of messages does: texts are upserts, empty ones deletes, in chats of every kind."""
     op = F.when(F.coalesce("text_plain", F.lit("")) == "", "D").otherwise("U")
     return table(spark, folder, "messages").select(*KEY, op.alias("op")).distinct()
 
