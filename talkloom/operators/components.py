@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkloom.session import cut
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): for each node of ``edges`` (a, b) the least node of its component.
 
     Large-star and small-star steps in turn: every step links a node's neighbours to its least neighbour,
     which halves paths and keeps the number of edges. Minima are combined before the shuffle, so hubs cost
     no more than other nodes; each round is written to the shared folder. Self-loops, repeated edges and
-    nulls do no harm; no edges give no rows. If edges still change after ``rounds`` steps, that is an error.
+    nulls do no harm; no edges give no rows. Steps go on until the edges stay as they are; where ``rounds`` bounds
+    them, edges that still change then are an error.
     """
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null")
     loops = e.where("a = b").select("a").distinct()
     e = cut(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
-    for step in range(rounds + 1):
+    for step in count():
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == state or not now[0]:
             break

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkloom.operators.merge import ranked
+
 
 def take_budget(rows: DataFrame, groups: Sequence[str], order: Sequence[Column], size: Column, budget: float, most: int) -> DataFrame:
     """Of each group the first rows while the sizes before and including them stay below ``budget`` and they are fewer than ``most``.
@@ -28,6 +30,11 @@ def month_headers(rows: DataFrame, groups: Sequence[str], order: Sequence[Column
     return rows.withColumn("month", month).withColumn("header", F.lead(F.lit(1)).over(w).isNull())
 
 
+def in_order(rows: DataFrame, *order: Column | str, position: str = "position") -> DataFrame:
+    """``rows`` with their 1-based position in ``order``, which should be total; no task sees all rows."""
+    return ranked(rows, position, order).withColumn(position, (F.col(position) + 1).cast("long"))
+
+
 def first_occurrence(rows: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
     """The row of each key that comes first; combined before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

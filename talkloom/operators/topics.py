@@ -119,23 +119,43 @@ def fuzzy_topic(raw: DataFrame, key: str, title: str, topics: DataFrame, counter
     return scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), "topic_id")).alias("b")).select(key, "b.topic_id", F.round(-F.col("b.s"), 6).alias("score"))
 
 
+def _grams(text: Column) -> Column:
+    """All substrings of one to three characters, and the empty one."""
+    sized = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - n + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), sized(1), sized(2), sized(3)))
+
+
+def _containing(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """The columns of ``inner`` (i, ...) and ``outer`` (o, ...) for all pairs in which ``o`` contains ``i``. They meet by
+    the first three characters of ``i`` (all, if fewer), so a string meets none with which it shares nothing."""
+    a = inner.withColumn("_g", F.left("i", F.lit(3)))
+    b = outer.withColumn("_g", F.explode(_grams(F.col("o"))))
+    return a.join(b, "_g").where(F.col("o").contains(F.col("i"))).drop("_g")
+
+
 def resolve_category(raw: DataFrame, column: str, categories: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
     """``raw`` with category_id: by synonym (alias, name), by name, or by the first category that contains the
-    name or is contained in it; null if none fits. Empty and null names count as "Other"."""
+    name or is contained in it; null if none fits. Empty and null names count as "Other".
+
+    Names are compared once each, whatever the number of rows or categories: equal ones by a join, parts by a join on
+    short substrings. Nothing is collected.
+    """
     own = F.lower(F.trim(F.coalesce(F.col(column), F.lit(""))))
-    rows = raw.withColumn("_own", F.when(own == "", "other").otherwise(own))
+    rows = raw.drop("category_id").withColumn("_own", F.when(own == "", "other").otherwise(own))
     names = rows.select("_own").distinct()
     if synonyms is not None:
-        names = names.join(synonyms.select(F.lower("alias").alias("_own"), F.lower("name").alias("_name")), "_own", "left").withColumn("_name", F.coalesce("_name", "_own"))
+        alias = synonyms.groupBy(F.lower("alias").alias("_own")).agg(F.min(F.lower("name")).alias("_name"))
+        names = names.join(alias, "_own", "left").withColumn("_name", F.coalesce("_name", "_own"))
     else:
         names = names.withColumn("_name", F.col("_own"))
-    known = [(r.category_id, r.n) for r in categories.where("name is not null").select("category_id", F.lower("name").alias("n")).orderBy("category_id").limit(10_000).collect()]
-    exact = F.lit(None).cast("long")
-    part = F.lit(None).cast("long")
-    for k, n in reversed(known):
-        exact = F.when(F.col("_name") == n, F.lit(k)).otherwise(exact)
-        part = F.when(F.lit(n).contains(F.col("_own")) | F.col("_own").contains(n), F.lit(k)).otherwise(part)
-    return rows.join(names.select("_own", F.coalesce(exact, part).cast("long").alias("category_id")), "_own").drop("_own")
+    known = categories.where("name is not null and category_id is not null").groupBy(F.lower("name").alias("_n")).agg(F.min("category_id").alias("k"))
+    exact = names.join(known.withColumnsRenamed({"_n": "_name", "k": "_exact"}), "_name", "left")
+    rest = exact.where("_exact is null").select("_own")
+    inside = _containing(rest.select(F.col("_own").alias("i")), known.select(F.col("_n").alias("o"), "k")).select(F.col("i").alias("_own"), "k")
+    around = _containing(known.select(F.col("_n").alias("i"), "k"), rest.select(F.col("_own").alias("o"))).select(F.col("o").alias("_own"), "k")
+    part = inside.unionByName(around).groupBy("_own").agg(F.min("k").alias("_part"))
+    found = exact.join(part, "_own", "left").select("_own", F.coalesce("_exact", "_part").alias("category_id"))
+    return rows.join(found, "_own").drop("_own")
 
 
 def new_categories(resolved: DataFrame, column: str, categories: DataFrame) -> DataFrame:

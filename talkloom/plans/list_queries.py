@@ -105,7 +105,7 @@ def presence_order(spark: SparkSession, folder: str) -> DataFrame:
     """Chats by their last message, silent ones last."""
     last = table(spark, folder, "messages").groupBy("chat_id").agg(F.max("timestamp").alias("last"))
     rows = current_chats(spark, folder).select("chat_id").join(last, "chat_id", "left")
-    return rows.select("chat_id", F.row_number().over(Window.orderBy(F.desc_nulls_last("last"), "chat_id")).cast("long").alias("position"))
+    return ls.in_order(rows, F.desc_nulls_last("last"), "chat_id").select("chat_id", "position")
 
 
 @query(
@@ -114,8 +114,7 @@ def presence_order(spark: SparkSession, folder: str) -> DataFrame:
 def name_order(spark: SparkSession, folder: str) -> DataFrame:
     """Titles with letters first; numbers inside them by value."""
     title = F.coalesce("title", F.lit(""))
-    order = Window.orderBy(~title.rlike(r"\p{L}"), ls.natural_key(title), "chat_id")
-    return current_chats(spark, folder).select("chat_id", "title", F.row_number().over(order).cast("long").alias("position"))
+    return ls.in_order(current_chats(spark, folder).select("chat_id", "title"), ~title.rlike(r"\p{L}"), ls.natural_key(title), "chat_id")
 
 
 @query("SELECT position, v.category_id, name FROM (SELECT unnest([9, 3, 99, 1]) AS category_id, unnest([0, 1, 2, 3]) AS position) v LEFT JOIN wiki_categories c USING (category_id)")
@@ -127,8 +126,8 @@ def enrich_in_list_order(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT category_id, name, row_number() OVER (ORDER BY list_position([7, 2, 11], category_id) NULLS LAST, sort_order, category_id) AS position FROM wiki_categories")
 def recents_first(spark: SparkSession, folder: str) -> DataFrame:
     at = F.nullif(F.array_position(F.array(*map(F.lit, (7, 2, 11))), F.col("category_id").cast("int")), F.lit(0))
-    order = Window.orderBy(at.asc_nulls_last(), "sort_order", "category_id")
-    return table(spark, folder, "wiki_categories").select("category_id", "name", F.row_number().over(order).cast("long").alias("position"))
+    rows = table(spark, folder, "wiki_categories").select("category_id", "name", "sort_order")
+    return ls.in_order(rows, at.asc_nulls_last(), F.col("sort_order").asc_nulls_last(), "category_id").drop("sort_order")
 
 
 _ANCHOR = "(SELECT chat_id FROM messages GROUP BY 1 ORDER BY count(*) DESC, chat_id LIMIT 1)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talkloom.functions import text as tx
 from talkloom.operators import topics as tp
-from talkloom.operators.lists import share_of_total
+from talkloom.operators.lists import in_order, share_of_total
 from talkloom.operators.links import dated_links, distinct_links
 from talkloom.plans.registry import Registry
 from talkloom.plans.search_queries import CHATS, TOPICS, WS
@@ -82,7 +82,7 @@ def topic_with_category(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""SELECT c.category_id, c.name, CAST(coalesce(sum(n.message_count), 0) AS BIGINT) AS messages, count(t.topic_id) AS topics,
-        row_number() OVER (ORDER BY coalesce(sum(n.message_count), 0) DESC, c.name) AS position
+        row_number() OVER (ORDER BY coalesce(sum(n.message_count), 0) DESC, c.name, c.category_id) AS position
     FROM wiki_categories c LEFT JOIN {TOPICS} t ON c.category_id = t.category_id LEFT JOIN {COUNTERS} n ON t.topic_id = n.topic_id GROUP BY 1, 2"""
 )
 def category_usage_order(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,7 +92,7 @@ def category_usage_order(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "wiki_categories").join(used, "category_id", "left")
     zero = F.lit(0).cast("long")
     rows = rows.select("category_id", "name", F.coalesce("m", zero).alias("messages"), F.coalesce("t", zero).alias("topics"))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("messages"), "name")).cast("long"))
+    return in_order(rows, F.desc("messages"), "name", "category_id")
 
 
 @query(f"SELECT category_id, name, (SELECT count(*) FROM {TOPICS} t WHERE t.category_id = c.category_id) AS topics FROM wiki_categories c")
@@ -297,7 +297,16 @@ def category_resolve(spark: SparkSession, folder: str) -> DataFrame:
     return tp.resolve_category(raw, "assigned_category", table(spark, folder, "wiki_categories"))
 
 
-@query()
+def _title_sql(s: str) -> str:
+    return f"array_to_string(list_transform(list_filter(string_split_regex({s}, '\\s+'), lambda w: w <> ''), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')"
+
+
+@query(
+    f"""WITH r AS (SELECT DISTINCT trim(title) AS raw FROM {CHATS} WHERE trim(title) <> ''),
+    n AS (SELECT DISTINCT {_title_sql("raw")} AS name FROM r WHERE NOT EXISTS (
+        SELECT 1 FROM wiki_categories WHERE contains(lower(name), lower(raw)) OR contains(lower(raw), lower(name))))
+    SELECT (SELECT max(category_id) FROM wiki_categories) + row_number() OVER (ORDER BY name) AS category_id, name FROM n"""
+)
 def category_create(spark: SparkSession, folder: str) -> DataFrame:
     """New categories for words that no category fits."""
     raw = current_chats(spark, folder).select(F.trim("title").alias("raw")).where("raw <> ''").distinct()

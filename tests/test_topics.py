@@ -68,6 +68,17 @@ def test_categories(rows):
     assert [(r.category_id, r.name) for r in tp.new_categories(got, "raw", known).collect()] == [(4, "Zzz")]
 
 
+def test_categories_beyond_any_cap(rows, spark):
+    from pyspark.sql import functions as F
+
+    n = 20_000
+    known = spark.range(n).select(F.col("id").alias("category_id"), F.concat(F.lit("Kind "), F.col("id").cast("string"), F.lit("x")).alias("name"))
+    raw = rows("raw string", [("kind 19999x",), ("about kind 15000x here",), ("d 12345x",), ("nothing",), ("x",)])
+    got = {r.raw: r.category_id for r in tp.resolve_category(raw, "raw", known).collect()}
+    assert got == {"kind 19999x": 19999, "about kind 15000x here": 15000, "d 12345x": 12345, "nothing": None, "x": 0}
+    assert [(r.category_id, r.name) for r in tp.new_categories(tp.resolve_category(raw, "raw", known), "raw", known).collect()] == [(n, "Nothing")]
+
+
 def test_components(rows):
     import random
 
@@ -94,7 +105,7 @@ def test_components_that_are_not_done(rows):
 
     from talkloom.operators.components import components
 
-    path = rows("a long, b long", [(i, i + 1) for i in range(20)])
+    path = rows("a long, b long", [(i, i + 1) for i in range(300)])
     with pytest.raises(RuntimeError):
         components(path, rounds=1)
-    assert {tuple(r) for r in components(path).collect()} == {(i, 0) for i in range(21)}
+    assert {tuple(r) for r in components(path).collect()} == {(i, 0) for i in range(301)}
