@@ -1,13 +1,14 @@
 """Exactly one row per message out of at-least-once deliveries.
 
 Only the identifier, the delivery order and the position of each row (file, row number) are shuffled.
-The winners become one bit vector per file; the wide columns are then read file by file in the tasks,
-the vector is applied while reading, and no payload is ever shuffled.
+The winners become one bit vector per file; the wide columns are then read by row groups in the tasks, the
+vector is applied while reading, and no payload is ever shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 from urllib.parse import unquote
 
 import numpy as np
@@ -17,6 +18,12 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkloom.session import cut
+
+#: Bytes that a task reads, and the most tasks of a read.
+TASK_BYTES, MOST_TASKS = 128 << 20, 50_000
+#: Opens a path that Spark names: (file system, path in it).
+Opener = Callable[[str], tuple[pafs.FileSystem, str]]
 #: Positions in one bit vector of ``bitmap_construct_agg``; a fixed value of Spark.
 CHUNK = 32768
 
@@ -60,55 +67,81 @@ def deletion_vectors(spark: SparkSession, path: str, schema: str, key: Sequence[
     )
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path in it. Clusters whose storage needs other settings
+    than its address gives pass a function of their own."""
+    system, inner = pafs.FileSystem.from_uri(path)
+    return (system, inner) if system.get_file_info(inner).type != pafs.FileType.NotFound else (system, unquote(inner))
+
+
+def row_groups(rows: DataFrame, open_file: Opener = file_system) -> DataFrame:
+    """(path, file, unit, start, n, bytes) of every row group of the files of ``rows``, from their footers.
+
+    Files are listed by the scan and opened in tasks, so nothing of them is collected. Two paths with one hash are
+    an error.
+    """
+    paths = rows.select("_metadata.file_path").distinct().select(F.col("file_path").alias("path"), _file_hash("file_path").alias("file"))
+    one = paths.groupBy("file").agg(F.min("path").alias("path"), F.max("path").alias("other"))
+    one = one.select("file", F.when(F.col("path") == F.col("other"), F.col("path")).otherwise(F.raise_error(F.lit("two files with one hash"))).alias("path"))
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item in batch.to_pylist():
+                system, inner = open_file(item["path"])
+                with pq.ParquetFile(inner, filesystem=system) as f:
+                    groups = [f.metadata.row_group(g) for g in range(f.metadata.num_row_groups)]
+                n = [g.num_rows for g in groups]
+                out = {"path": [item["path"]] * len(n), "file": [item["file"]] * len(n), "unit": list(range(len(n))), "start": list(accumulate(n, initial=0))[:-1], "n": n, "bytes": [g.total_byte_size for g in groups]}
+                yield pa.RecordBatch.from_pydict(out, pa.schema([("path", pa.string()), ("file", pa.int64()), ("unit", pa.int32()), ("start", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64())]))
+
+    return one.repartition("file").mapInArrow(footers, "path string, file long, unit int, start long, n long, bytes long")
+
+
 def read_through(
-    spark: SparkSession, path: str, schema: str, vectors: DataFrame, columns: Sequence[str], deleted: bool = False
+    spark: SparkSession, path: str, schema: str, vectors: DataFrame, columns: Sequence[str], deleted: bool = False, open_file: Opener = file_system
 ) -> DataFrame:
     """Columns of the rows that ``vectors`` keeps (or, with ``deleted``, of those it deletes).
 
-    The unit of work is a file; each task opens its files itself, row group by row group, skips row
-    groups of which nothing remains, and hands on Arrow batches. A lost executor repeats its files only.
+    The unit of work is a row group, so a large file is many tasks; their number follows the bytes to read and
+    not the number of files. Tasks open files themselves, skip row groups of which nothing remains, and hand on Arrow
+    batches. A lost executor repeats its row groups only.
     """
     rows = spark.read.schema(schema).parquet(path)
-    files = rows.inputFiles()
     wanted = rows.select(*columns).schema
-    if not files:
+    units = cut(row_groups(rows, open_file), "row-groups")
+    size = units.agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+    if not size.n:
         return spark.createDataFrame([], wanted)
-    listed = spark.createDataFrame([(f,) for f in files], "path string").select("path", _file_hash("path").alias("file"))
+    tasks = min(size.n, MOST_TASKS, max(spark.sparkContext.defaultParallelism, size.b // TASK_BYTES + 1))
+    parts = units.select("*", F.explode(F.expr(f"sequence(start div {CHUNK}, (start + greatest(n, 1) - 1) div {CHUNK})")).alias("part"))
     work = (
-        listed.join(vectors, "file", "left")
-        .groupBy("path")
-        .agg(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("part", "kept"))).alias("vectors"))
-        .repartition(len(files), "path")
+        parts.join(vectors, ["file", "part"], "left")
+        .groupBy("path", "unit", "start", "n")
+        .agg(F.collect_list(F.when(F.col("kept").isNotNull(), F.struct("part", "kept"))).alias("vectors"))
+        .repartition(tasks, "path", "unit")
     )
     names = list(columns)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item in batch.to_pylist():
-                yield from _read_file(item["path"], {v["part"]: v["kept"] for v in item["vectors"]}, names, deleted)
+                bits = _bits({v["part"]: v["kept"] for v in item["vectors"]}, item["start"], item["n"]) != deleted
+                if bits.any():
+                    yield from _read_group(open_file(item["path"]), item["unit"], bits, names)
 
     return work.mapInArrow(read, wanted)
 
 
-def _read_file(path: str, vectors: dict[int, bytes], names: list[str], deleted: bool) -> Iterator[pa.RecordBatch]:
-    system, inner = pafs.FileSystem.from_uri(path)
-    if system.get_file_info(inner).type == pafs.FileType.NotFound:
-        inner = unquote(inner)
+def _read_group(where: tuple[pafs.FileSystem, str], group: int, bits: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    system, inner = where
     with pq.ParquetFile(inner, filesystem=system) as f:
-        start = 0
-        for group in range(f.metadata.num_row_groups):
-            n = f.metadata.row_group(group).num_rows
-            bits = _bits(vectors, start, n) != deleted
-            start += n
-            if not bits.any():
-                continue
-            at = 0
-            for batch in f.iter_batches(65536, row_groups=[group], columns=names):
-                mask = bits[at : at + batch.num_rows]
-                at += batch.num_rows
-                if mask.any():
-                    out = batch.filter(pa.array(mask))
-                    yield pa.RecordBatch.from_arrays([out.column(c) for c in names], names)
+        at = 0
+        for batch in f.iter_batches(65536, row_groups=[group], columns=names):
+            mask = bits[at : at + batch.num_rows]
+            at += batch.num_rows
+            if mask.any():
+                out = batch.filter(pa.array(mask))
+                yield pa.RecordBatch.from_arrays([out.column(c) for c in names], names)
 
 
 def _bits(vectors: dict[int, bytes], start: int, n: int) -> np.ndarray:
@@ -121,7 +154,7 @@ def _bits(vectors: dict[int, bytes], start: int, n: int) -> np.ndarray:
 
 
 def deduplicate(
-    spark: SparkSession, path: str, schema: str, key: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, schema: str, key: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None, open_file: Opener = file_system
 ) -> DataFrame:
     """Exactly one row per ``key``: the first in ``order`` (nulls last, then file and row number).
 
@@ -130,9 +163,9 @@ def deduplicate(
     share of the rows is combined before the shuffle.
     """
     columns = list(columns or spark.read.schema(schema).parquet(path).columns)
-    return read_through(spark, path, schema, deletion_vectors(spark, path, schema, key, order), columns)
+    return read_through(spark, path, schema, deletion_vectors(spark, path, schema, key, order), columns, open_file=open_file)
 
 
-def redelivered(spark: SparkSession, path: str, schema: str, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+def redelivered(spark: SparkSession, path: str, schema: str, key: Sequence[str], order: Sequence[str], open_file: Opener = file_system) -> DataFrame:
     """Keys that were delivered more than once: those of the rows that the vectors delete."""
-    return read_through(spark, path, schema, deletion_vectors(spark, path, schema, key, order), key, deleted=True).distinct()
+    return read_through(spark, path, schema, deletion_vectors(spark, path, schema, key, order), key, deleted=True, open_file=open_file).distinct()

@@ -42,6 +42,21 @@ def test_vectors_over_many_chunks_and_row_groups(spark, tmp_path):
     assert tuple(got) == (n // 2, 0)
 
 
+def test_one_file_is_several_tasks(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 40_000
+    t = pa.table({"chat_id": pa.array([i // 2 for i in range(n)]), "message_id": pa.array([1] * n), "timestamp": pa.array(range(n)), "text": ["x"] * n, "part": ["p"] * n, "__row": ["r"] * n})
+    (tmp_path / "one").mkdir()
+    pq.write_table(t, tmp_path / "one" / "a b%.parquet", row_group_size=5000)
+    got = deduplicate(spark, f"file://{tmp_path}/one", SCHEMA, KEY, ORDER, ["timestamp"])
+    assert got.count() == n // 2
+    from pyspark.sql import functions as F
+
+    assert got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_empty_table(spark, tmp_path):
     path = write(spark, tmp_path / "e", [], 1)
     assert deduplicate(spark, path, SCHEMA, KEY, ORDER).collect() == []
