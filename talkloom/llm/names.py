@@ -1,33 +1,37 @@
 """Variant spellings of names, linked by metric-space partitioning.
 
-Each title gives one or more names of two parts (its words without legal ending, in Latin letters). Parts
-are assigned to the nearest of a set of pivots; by the triangle inequality a part within the radius of
-another lies in every cell whose pivot is at most twice the radius farther than its nearest one, so it is
-replicated there, and exact radius joins run inside each cell. The metric is the unrestricted
-Damerau-Levenshtein distance. Names meet by equal keys of near parts, so no pairs of names are enumerated.
+Each title gives one or more names of two parts (its words without legal ending, in Latin letters). The
+metric on parts is the unrestricted Damerau-Levenshtein distance. Pivots are long words over a class of letters
+each: the distance of a part to such a pivot is the pivot's length less the part's letters of that class. The
+distances to all pivots name the cell of a part. By the triangle inequality an edit moves each of them by one at
+most, and by how the classes divide the letters only few cells are within the radius; a part is replicated to
+these, and the exact radius join runs inside each cell. All links between names come from that one join.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkloom.llm.canonical import canonical_array
 from talkloom.operators.components import components
 from talkloom.session import cut
 
-RADIUS = 1
-#: Pivots are chosen among a sample of at most SAMPLE forms, about one for CELL forms.
-SAMPLE, CELL, LEAST_PIVOTS, MOST_PIVOTS = 2000, 20_000, 4, 64
-#: Longer forms make a ring of their own around the empty word.
-LONG = 64
+#: Parts within SURE of each other are the same; within FAR, if the other part is equal.
+SURE, FAR = 1, 2
+#: Forms by whose letters the classes are balanced; whatever the classes are, the join is complete.
+SAMPLE = 2000
+#: Bits of a class in the number of a cell; no word has more letters of a class than LONGEST.
+CLASS_BITS, MOST_CLASSES, LONGEST = 9, 6, 200_000
 
 # Romanisation of Hangul (initials, vowels, finals).
 INITIALS = "g kk n d tt r m b pp s ss  j jj ch k t p h".split(" ")
@@ -49,6 +53,16 @@ ENDINGS = {
     "capital": ["cptl", "캐피탈", "캐피털"],
 }
 NOISE = {"the", "inc", "ltd", "co", "corp", "llc", "plc", "gmbh", "update", "updates", "news", "alert", "analysis", "소식", "뉴스", "주식회사", "㈜"}
+# Short forms of English given names.
+NICKNAMES = {
+    "alexander": "alec sandy", "andrew": "andy drew", "anthony": "tony", "barbara": "barb", "benjamin": "ben benny", "catherine": "cathy", "charles": "charlie chuck", "christopher": "chris kit",
+    "daniel": "dan danny", "david": "dave", "deborah": "deb debbie", "donald": "don donnie", "edward": "ed eddie ned ted", "elizabeth": "beth betty liz lizzie", "frances": "fran", "francis": "frank",
+    "frederick": "fred freddie", "gregory": "greg", "james": "jim jimmy jamie", "jeffrey": "jeff", "jennifer": "jen jenny", "jessica": "jess", "john": "jack johnny", "jonathan": "jon", "joseph": "joe joey",
+    "joshua": "josh", "kenneth": "ken kenny", "lawrence": "larry", "leonard": "len lenny", "margaret": "maggie meg peggy", "matthew": "matt", "michael": "mike mick mickey", "nathaniel": "nate",
+    "nicholas": "nick", "patricia": "pat patty trish", "peter": "pete", "philip": "phil", "rebecca": "becky", "richard": "rich rick ricky dick", "robert": "bob bobby rob robbie", "ronald": "ron ronnie",
+    "samuel": "sam sammy", "stephen": "steve", "susan": "sue susie", "theodore": "theo", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "walter": "walt", "william": "bill billy will willie", "zachary": "zach",
+}
+_NICKNAME = {short: name for name, all_short in NICKNAMES.items() for short in all_short.split()}
 _SPLIT = re.compile(r"[\s._\-/,;:&'’\"]+")
 _HANGUL = re.compile(r"[가-힣]")
 
@@ -169,8 +183,10 @@ def parse(title: str) -> tuple[list[str], str | None, bool]:
     if not korean:
         words = [x for w in words for x in re.sub(r"(?<=[a-z])(?=[A-Z])", " ", w).split() if x.lower() not in NOISE]
     if not korean and len(words) == 1 and len(words[0]) <= 5 and words[0].isupper():
-        return [], None, True
+        return [words[0].lower()], None, True
     words = [w.lower() for w in words]
+    if len(words) > 1:
+        words = [_NICKNAME.get(w, w) for w in words]
     if korean:  # Latin letters and digits after a Korean name are additions to it
         words = [w for w in words if _HANGUL.search(w)]
     last = None
@@ -193,7 +209,8 @@ def parse(title: str) -> tuple[list[str], str | None, bool]:
 def forms(title: str | None, title_ko: str | None) -> list[tuple[str, str, str | None, bool]]:
     """(first, second, ending, short) of a topic, parts in alphabetical order; of a name of one word the second is empty.
 
-    A Korean name written as one word gives all ways to part it. ``short`` names have an initial as first part.
+    A Korean name written as one word gives all ways to part it. ``short`` names have an initial as first part. A word
+    of up to five capitals may be an acronym: it counts as a name of its own only if the other title gives none.
     """
     out: dict[tuple[str, str], tuple[str | None, bool]] = {}
     parsed = [parse(t) for t in (title, title_ko) if t and t.strip()]
@@ -202,7 +219,10 @@ def forms(title: str | None, title_ko: str | None) -> list[tuple[str, str, str |
     for words, _, short in parsed:
         if not words:
             continue
-        if short:
+        if short and len(words) == 1:
+            if not whole:
+                out.setdefault((words[0], ""), (last, False))
+        elif short:
             if not whole and len(words) == 2 and len(max(words, key=len)) > 2:
                 out[min(words, key=len), max(words, key=len)] = (last, True)
         elif len(words) == 1 and _HANGUL.match(words[0]):
@@ -212,7 +232,7 @@ def forms(title: str | None, title_ko: str | None) -> list[tuple[str, str, str |
             out[words[0], ""] = (last, False)
         else:
             out[tuple(sorted((words[0], "".join(words[1:]))))] = (last, False)
-    return [(a, b, e, s) for (a, b), (e, s) in out.items() if len(a + b) > 3]
+    return [(a, b, e, s) for (a, b), (e, s) in out.items()]
 
 
 def title_forms(topics: DataFrame, key: str, title: str, title_ko: str) -> DataFrame:
@@ -231,70 +251,66 @@ def title_forms(topics: DataFrame, key: str, title: str, title_ko: str) -> DataF
     return rows.mapInArrow(run, "id long, first string, second string, ending string, short boolean")
 
 
-def choose_pivots(sample: list[str], count: int) -> list[str]:
-    """Farthest-first pivots of a sample."""
-    sample = sorted(set(sample))
-    if len(sample) <= count:
-        return sample
-    chosen = [sample[0]]
-    nearest = distances(sample, chosen[0])
-    while len(chosen) < count:
-        chosen.append(sample[int(nearest.argmax())])
-        nearest = np.minimum(nearest, distances(sample, chosen[-1]))
-    return chosen
-
-
-def near_forms(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of different forms of ``distinct`` (form) within the radius of each other.
-
-    The sample from which pivots are taken is bounded; every form is placed and compared. Whatever the
-    pivots are, the result is complete. Inside a cell forms meet by what is left of them after a deletion, so
-    the join follows the number of forms and no cell is one task; the metric then decides.
+def letter_classes(sample: list[str], count: int) -> list[str]:
+    """The letters of ``sample`` in ``count`` - 1 classes of like weight; all other letters are the last class."""
+    weight = Counter("".join(sample))
+    classes = [["", 0] for _ in range(count)]
+    for c, n in sorted(weight.items(), key=lambda x: (-x[1], x[0])):
+        lightest = min(classes, key=lambda x: x[1])
+        lightest[0] += c
+        lightest[1] += n
+    return [c for c, _ in classes[:-1]]
+
+
+def moves(classes: int, radius: int) -> list[tuple[int, ...]]:
+    """What up to ``radius`` edits can do to the letter counts of the classes, one of each two opposite moves."""
+    axes = [tuple(int(i == k) for k in range(classes)) for i in range(classes)]
+    none = (0,) * classes
+    single = {tuple(y - x for x, y in zip(a, b, strict=True)) for a in (none, *axes) for b in (none, *axes)}
+    reached = {none}
+    for _ in range(radius):
+        reached = {tuple(x + y for x, y in zip(m, e, strict=True)) for m in reached for e in single}
+    return sorted(m for m in reached if m[::-1] >= none)
+
+
+def near_forms(distinct: DataFrame, radius: int = FAR) -> DataFrame:
+    """(a, b, d): all pairs of different forms of ``distinct`` (form), each once, at distance d up to ``radius``.
+
+    The number of pivots grows with the number of forms, so that cells stay small. Every form lies in its own cell
+    and, as a replica, in those to which up to ``radius`` edits lead; of two opposite moves one is enough. What
+    meets in a cell is held against bounds that never exceed the distance (letters that only one has; Levenshtein,
+    in which an exchange is two edits), then the metric decides. Forms of more than LONGEST characters, nulls and
+    empty forms are near none.
     """
-    spark = distinct.sparkSession
-    n = distinct.count()
-    short = distinct.where(F.char_length("form") <= LONG)
-    some = [r.form for r in short.orderBy(F.xxhash64("form")).limit(SAMPLE).collect()]
-    pivots = choose_pivots(some, max(LEAST_PIVOTS, min(MOST_PIVOTS, n // CELL)))
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names = b.column("form").to_pylist()
-            if not names:
-                continue
-            d = np.stack([distances(names, p) for p in shared.value], 1)
-            home = d.argmin(1)
-            row, cell = np.nonzero(d <= d.min(1)[:, None] + 2 * RADIUS)
-            columns = [pa.array(cell.astype(np.int32)), b.column("form").take(pa.array(row)), pa.array(home[row] == cell), pa.array(d[row, cell].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["cell", "form", "home", "d"])
-
-    placed = short.mapInArrow(place, "cell int, form string, home boolean, d int")
-    # Forms within the radius of 1 agree after at most one deletion in each.
-    shorter = F.transform(F.sequence(F.lit(1), F.char_length("form")), lambda i: F.concat(F.substr(F.col("form"), F.lit(1), i - 1), F.substr(F.col("form"), i + 1)))
-    keyed = placed.select("cell", "form", "home", "d", F.explode(F.array_distinct(F.array_append(shorter, F.col("form")))).alias("key"))
-    # The ring of long forms around the empty word: one edit leaves their beginning or their end as it is.
-    ring = distinct.where(F.char_length("form") >= LONG).select(
-        F.lit(-1).alias("cell"), "form", (F.char_length("form") > LONG).alias("home"), F.char_length("form").alias("d"),
-        F.explode(F.array(F.concat(F.lit("^"), F.left("form", F.lit(24))), F.concat(F.lit("$"), F.right("form", F.lit(24))))).alias("key"),
-    )
-    placed = cut(keyed.unionByName(ring), "cells")
-    # Of a pair the one in its home cell meets the other there.
-    a = placed.where("home").select("cell", "key", F.col("form").alias("a"), F.col("d").alias("a_d"))
-    b = placed.select("cell", "key", F.col("form").alias("b"), F.col("d").alias("b_d"))
-    close = (F.abs(F.col("a_d") - F.col("b_d")) <= RADIUS) & (F.col("a") != F.col("b"))
-    met = a.join(b, ["cell", "key"]).where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = met.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"))
-    return met.mapInArrow(_verified(RADIUS), "a string, b string")
-
-
-def _verified(most: int):
-    near = within_one if most == 1 else lambda x, y: distance(x, y) <= most
+    forms = distinct.where(F.char_length("form").between(1, LONGEST)).select("form")
+    size = max(2, min(MOST_CLASSES, round(math.log10(max(forms.count(), 1)))))
+    letters = letter_classes([r.form for r in forms.orderBy(F.xxhash64("form")).limit(SAMPLE).collect()], size)
+    length = F.char_length("form")
+    counts = [length - F.char_length(F.translate("form", c, "")) if c else F.lit(0) for c in letters]
+    counts.append(length - reduce(lambda x, y: x + y, counts))
+    place = lambda ns: reduce(lambda x, y: x + y, (n * (1 << CLASS_BITS * i) for i, n in enumerate(ns)))
+    held = reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col("form").contains(chr(97 + i)), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(26)))
+    home = cut(forms.select("form", place([n.cast("long") for n in counts]).alias("cell"), held.alias("held")), "cells")
+    steps = F.array(*(F.lit(place(m)).cast("long") for m in moves(size, radius)))
+    a = home.select(F.col("form").alias("a"), F.col("held").alias("held_a"), F.explode(steps).alias("step"), "cell").select("a", "held_a", "step", (F.col("cell") + F.col("step")).alias("cell"))
+    b = home.select(F.col("form").alias("b"), F.col("held").alias("held_b"), "cell")
+    only_one = F.bit_count(F.col("held_a").bitwiseXOR(F.col("held_b")))
+    edits = F.levenshtein("a", "b", 2 * radius)
+    # t exchanges and e other edits, t + e <= radius, are 2t + e edits of Levenshtein at most; e others leave 2e letters to one word only.
+    bound = (only_one <= 2 * radius) & edits.between(0, 2 * radius - F.ceil(only_one / 2))
+    met = a.join(b.hint("merge"), "cell").where(((F.col("step") > 0) | (F.col("a") < F.col("b"))) & bound)
+    return met.select("a", "b", edits.alias("edits")).mapInArrow(_measured(radius), "a string, b string, d int")
+
+
+def _measured(radius: int):
+    def metric(x: str, y: str, edits: int) -> int:
+        return 1 if within_one(x, y) else 2 if edits == 2 else distance(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [near(x, y) for x, y in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            d = np.array([metric(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)], np.int32)
+            near = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["a", "b", "d"])
+            yield near.filter(pa.array(d <= radius))
 
     return run
 
@@ -303,46 +319,51 @@ def entities(topics: DataFrame, key: str = "topic_id", title: str = "title", tit
     """(key, entity_id) of every row with a usable title; entity_id is the least key of the entity.
 
     Two names are variants if each part is within 1 of a part of the other, or one part is the same and the
-    others, of six letters or more, are within 2, and if their endings agree or one has none. A title with an
-    initial joins the one entity that it can be short for, or none if there are several. Null and blank
-    titles, acronyms alone and null keys stay out; repeated rows count once. Keys are not negative.
+    others, of six letters or more, are within 2, and if their endings agree or one has none; names of one word
+    of less than five letters only if they are equal. Short forms of given names count as the name. A title with an
+    initial joins the one entity that it can be short for, or none if there are several. Null and blank titles
+    and null keys stay out; repeated rows count once. Keys are not negative.
     """
     found = cut(title_forms(topics, key, title, title_ko), "forms")
     node = F.xxhash64("first", "second", F.coalesce("ending", F.lit(""))).bitwiseOR(F.lit(-(1 << 63)).cast("long"))
     full = found.where("not short").withColumn("node", node)
-    short = found.where("short")
+    # Of a title with initials in both languages the first counts.
+    short = found.where("short").groupBy("id").agg(F.min(F.struct("first", "second", "ending")).alias("s")).select("id", "s.*")
     names = cut(full.select("first", "second", "ending", "node").distinct(), "names")
     parts = found.select(F.explode(F.array("first", "second")).alias("form")).where("length(form) > 1").distinct()
     near = near_forms(parts)
-    every = found.select(F.explode(F.array("first", "second")).alias("a")).distinct().select("a", F.col("a").alias("b"))
-    near = cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(every), "near")
+    itself = found.select(F.explode(F.array("first", "second")).alias("a")).distinct().select("a", F.col("a").alias("b"), F.lit(0).alias("d"))
+    near = cut(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).unionByName(itself), "near")
+    close = near.where(F.col("d") <= SURE)
     agree = F.col("x.ending").isNull() | F.col("y.ending").isNull() | (F.col("x.ending") == F.col("y.ending"))
     both_ways = names.unionByName(names.select(F.col("second").alias("first"), F.col("first").alias("second"), "ending", "node"))
     # Both parts near: replace each by its neighbours and look the result up.
-    replaced = names.join(near.select(F.col("a").alias("first"), F.col("b").alias("u")), "first")
-    replaced = replaced.join(near.select(F.col("a").alias("second"), F.col("b").alias("v")), "second").select("u", "v", "ending", "node")
-    x, y = replaced.alias("x"), both_ways.alias("y")
-    by_parts = x.join(y, (F.col("x.u") == F.col("y.first")) & (F.col("x.v") == F.col("y.second"))).where(agree & (F.col("x.node") != F.col("y.node")))
-    by_parts = by_parts.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    # One part the same, the other farther off; an exchange is one step of the metric and two of Levenshtein.
-    x, y = both_ways.where("length(first) > 1 and length(second) > 3").alias("x"), both_ways.where("length(first) > 1 and length(second) > 3").alias("y")
-    far = (F.col("x.node") < F.col("y.node")) & (F.greatest(F.length("x.second"), F.length("y.second")) >= 6) & (F.abs(F.length("x.second") - F.length("y.second")) <= 2)
-    by_one = x.join(y, (F.col("x.first") == F.col("y.first")) & far & agree & (F.levenshtein("x.second", "y.second", 4) >= 0))
-    by_one = by_one.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.second").alias("p"), F.col("y.second").alias("q")).mapInArrow(_verified(2), "a long, b long")
-    edges = full.select(F.col("id").alias("a"), F.col("node").alias("b")).unionByName(by_parts).unionByName(by_one)
-    first = cut(components(edges).where("node >= 0"), "entities")
+    replaced = names.join(close.select(F.col("a").alias("first"), F.col("b").alias("u"), F.col("d").alias("du")), "first")
+    replaced = replaced.where("du = 0 or second <> '' or least(length(first), length(u)) >= 5")
+    replaced = replaced.join(close.select(F.col("a").alias("second"), F.col("b").alias("v")), "second").select("u", "v", "ending", "node")
+    # One part the same, the other farther off.
+    long_ones = both_ways.where("length(first) > 1 and length(second) > 3")
+    far = near.where((F.col("d") == FAR) & (F.greatest(F.length("a"), F.length("b")) >= 6) & (F.least(F.length("a"), F.length("b")) > 3))
+    moved = long_ones.join(far.select(F.col("a").alias("second"), F.col("b").alias("v")), "second").select(F.col("first").alias("u"), "v", "ending", "node")
+    x, y = replaced.unionByName(moved).alias("x"), both_ways.alias("y")
+    linked = x.join(y, (F.col("x.u") == F.col("y.first")) & (F.col("x.v") == F.col("y.second"))).where(agree & (F.col("x.node") != F.col("y.node")))
+    linked = linked.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    edges = full.select(F.col("id").alias("a"), F.col("node").alias("b")).unionByName(linked)
+    first = components(edges).where("node >= 0")
+    first = first.select(F.col("node").alias("id"), F.min("node").over(Window.partitionBy("component")).alias("entity_id"))
+    first = cut(first, "entities")
     # Titles with an initial: the other part near, the initial that of the part which it stands for.
     known = full.select("id", "first", "second", "ending").unionByName(full.select("id", F.col("second").alias("first"), F.col("first").alias("second"), "ending"))
-    known = known.join(first.withColumnRenamed("node", "id"), "id").select(F.substring("first", 1, 1).alias("initial"), "second", "ending", "component").distinct()
-    x = short.join(near, short.second == near.a).select("id", F.col("first").alias("initial"), F.col("b").alias("second"), "ending").alias("x")
+    known = known.join(first, "id").select(F.substring("first", 1, 1).alias("initial"), "second", "ending", "entity_id").distinct()
+    x = short.join(close, short.second == close.a).select("id", F.col("first").alias("initial"), F.col("b").alias("second"), "ending").alias("x")
     y = known.alias("y")
     fits = x.join(y, (F.col("x.initial") == F.col("y.initial")) & (F.col("x.second") == F.col("y.second"))).where(agree)
-    one = fits.groupBy(F.col("x.id").alias("id")).agg(F.min("y.component").alias("p"), F.max("y.component").alias("q")).where("p = q")
-    joined = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(one.select(F.col("id").alias("a"), F.col("p").alias("b")))
+    fits = cut(fits.groupBy(F.col("x.id").alias("id")).agg(F.min("y.entity_id").alias("p"), F.max("y.entity_id").alias("q")), "fits")
     # Titles shortened alike belong together where nothing longer is known.
-    joined = joined.unionByName(short.select(F.col("id").alias("a"), node.alias("b")).join(fits.select(F.col("x.id").alias("a")).distinct(), "a", "left_anti"))
-    out = cut(components(joined).where("node >= 0"), "entities")
-    return out.join(out.groupBy("component").agg(F.min("node").alias("entity_id")), "component").select(F.col("node").alias(key), "entity_id")
+    alone = short.join(fits.select("id"), "id", "left_anti").select("id", F.min("id").over(Window.partitionBy("first", "second", "ending")).alias("entity_id"))
+    out = first.unionByName(fits.where("p = q").select("id", F.col("p").alias("entity_id"))).unionByName(alone)
+    least = out.groupBy("entity_id").agg(F.min("id").alias("least"))
+    return out.join(least, "entity_id").select(F.col("id").alias(key), F.col("least").alias("entity_id"))
 
 
 def entity_pairs(members: DataFrame, key: str) -> DataFrame:
