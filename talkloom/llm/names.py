@@ -290,21 +290,47 @@ def near_forms(distinct: DataFrame, radius: int = FAR) -> DataFrame:
     counts.append(length - reduce(lambda x, y: x + y, counts))
     place = lambda ns: reduce(lambda x, y: x + y, (n * (1 << CLASS_BITS * i) for i, n in enumerate(ns)))
     held = reduce(lambda x, y: x.bitwiseOR(y), (F.when(F.col("form").contains(chr(97 + i)), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(26)))
-    home = cut(forms.select("form", place([n.cast("long") for n in counts]).alias("cell"), held.alias("held")), "cells")
+    home = cut(forms.select("form", place([n.cast("long") for n in counts]).alias("cell"), held.alias("held"), F.array_join(F.array_sort(F.split("form", "")), "").alias("bag")), "cells")
     steps = F.array(*(F.lit(place(m)).cast("long") for m in moves(size, radius)))
-    a = home.select(F.col("form").alias("a"), F.col("held").alias("held_a"), F.explode(steps).alias("step"), "cell").select("a", "held_a", "step", (F.col("cell") + F.col("step")).alias("cell"))
-    b = home.select(F.col("form").alias("b"), F.col("held").alias("held_b"), "cell")
+    a = home.select(F.col("form").alias("a"), F.col("held").alias("held_a"), F.col("bag").alias("bag_a"), F.explode(steps).alias("step"), "cell").select("a", "held_a", "bag_a", "step", (F.col("cell") + F.col("step")).alias("cell"))
+    b = home.select(F.col("form").alias("b"), F.col("held").alias("held_b"), F.col("bag").alias("bag_b"), "cell")
     only_one = F.bit_count(F.col("held_a").bitwiseXOR(F.col("held_b")))
     edits = F.levenshtein("a", "b", 2 * radius)
-    # t exchanges and e other edits, t + e <= radius, are 2t + e edits of Levenshtein at most; e others leave 2e letters to one word only.
+    # t exchanges and e other edits, t + e <= radius, are 2t + e edits of Levenshtein at most, so e is at most 2 * radius
+    # less these; e others leave 2e letters to one word only, and move the words in order of letters 2e apart.
     bound = (only_one <= 2 * radius) & edits.between(0, 2 * radius - F.ceil(only_one / 2))
+    bound = bound & ((edits <= radius) | (F.levenshtein("bag_a", "bag_b") <= 2 * (2 * radius - edits)))
     met = a.join(b.hint("merge"), "cell").where(((F.col("step") > 0) | (F.col("a") < F.col("b"))) & bound)
     return met.select("a", "b", edits.alias("edits")).mapInArrow(_measured(radius), "a string, b string, d int")
 
 
+def within_two(a: str, b: str, most: int = 2) -> bool:
+    """Whether the distance is ``most`` (2 at most) or less, by what can happen where the words part."""
+    i, end = 0, min(len(a), len(b))
+    while i < end and a[i] == b[i]:
+        i += 1
+    a, b = a[i:], b[i:]
+    if abs(len(a) - len(b)) > most:
+        return False
+    if not a or not b:
+        return True
+    if most == 0:
+        return False
+    if within_two(a[1:], b[1:], most - 1) or within_two(a[1:], b, most - 1) or within_two(a, b[1:], most - 1):
+        return True
+    if a[1:2] == b[0] and b[1:2] == a[0] and within_two(a[2:], b[2:], most - 1):
+        return True
+    # Two exchanged letters with one between them that came in or went out.
+    return most == 2 and (
+        a[1:2] == b[0] and b[2:3] == a[0] and within_two(a[2:], b[3:], 0) or a[2:3] == b[0] and b[1:2] == a[0] and within_two(a[3:], b[2:], 0)
+    )
+
+
 def _measured(radius: int):
     def metric(x: str, y: str, edits: int) -> int:
-        return 1 if within_one(x, y) else 2 if edits == 2 else distance(x, y)
+        if edits == 1 or within_one(x, y):
+            return 1
+        return 2 if edits == 2 or within_two(x, y) else 3 if radius < 3 else distance(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

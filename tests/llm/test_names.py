@@ -34,6 +34,7 @@ def test_metric(a, b, c):
     assert names.distance(a, b) == slow(a, b) == names.distance(b, a)
     assert (names.distance(a, b) == 0) == (a == b)
     assert names.within_one(a, b) == (slow(a, b) <= 1)
+    assert [names.within_two(a, b, r) for r in (0, 1, 2)] == [slow(a, b) <= r for r in (0, 1, 2)]
     assert names.distance(a, c) <= names.distance(a, b) + names.distance(b, c)
     assert names.distances([a, b, c], c).tolist() == [slow(c, a), slow(c, b), 0]
 
