@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -25,8 +26,23 @@ FOUND = [
     ("I spoke with Ms. Cosima Halvick about", "I spoke with Ms. [NAME] about"),
     ("윤​벼람 씨가", "[NAME] 씨가"),
     ("please ask for Yorin R. Windlecomb at the desk", "please ask for [NAME] at the desk"),
+    ("My name is José García", "My name is [NAME]"),
+    ("my name is élodie Dupont", "my name is [NAME]"),
+    ("제 이름은 남궁민수입니다", "제 이름은 [NAME]입니다"),
+    ("this is Maria Lopez, the tenant", "this is [NAME], the tenant"),
+    ("Hello, David Miller here.", "Hello, [NAME] here."),
+    ("010-일이삼사-5678", "[PHONE]"),
+    ("010-one two three four-5678", "[PHONE]"),
+    ("mail john at example.com", "mail [EMAIL]"),
+    ("여권 M12345678", "여권 [ID_NUMBER]"),
+    ("j o h n @ example.com", "[EMAIL]"),
+    ("010-1234-5678로 연락", "[PHONE]로 연락"),
+    ("번호는670727-4104832입니다", "번호는[ID_NUMBER]입니다"),
+    ("kim앳mail.test kim@mail[점]test kim <at> mail.test", "[EMAIL] [EMAIL] [EMAIL]"),
+    ("passport no. M123A4567!", "passport no. [ID_NUMBER]!"),
 ]
 NONE = [
+    "look at example.com", "this is Great News, so", "7712044092083원", "코드 M12345678", "at 3 the one or two more",
     "@kept_official 팔로우", "order no. 96-3362-37 shipped", "INV-2025-2956-79", "tx 0xc0596725101090b3705a49f8", "시총 825,101,976,000원", "score 5-4, gas 10@121",
     "2025-04-21 ~ 2025-09-15", "ref#2674719442A", "build 8.0.7 (rev 965884)", "Sinupe Gonamudi Exchange desk replied at 12:43", "block 52018687 / epoch 982", "look at example.com", "투자자들은 인용문 쪽을 먼저 줄였고, 9683 차이였다.", "",
 ]
@@ -35,6 +51,7 @@ NONE = [
 @pytest.mark.parametrize(("text", "want"), FOUND)
 def test_found(text, want):
     assert pii.redact(text) == want
+    assert pii._worth_a_look(pa.array([text, None, "", "x " + text])).tolist() == [True, False, False, True]
 
 
 @pytest.mark.parametrize("text", NONE)
