@@ -31,6 +31,8 @@ GREEK = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
 }
 ARMENIAN = {"օ": "o", "ո": "n", "ս": "u", "հ": "h", "ց": "g", "զ": "q", "ա": "w", "Տ": "S", "Օ": "O", "Լ": "L"}
+CHEROKEE = dict(zip("ᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCEGHJKLMPRSTVWZ", strict=True))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU", strict=True))
 LATIN = {"ɡ": "g", "ɑ": "a", "ı": "i", "ɩ": "i", "ʏ": "y", "ⅼ": "l", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m"}
 # Hyphens, joined letters, invisible characters.
 HYPHENS = "‐‑‒–⁃−˗֊﹘﹣"
@@ -80,11 +82,12 @@ class Tables:
         self.is_joined[list(self.joined)] = True
         self.hyphen = np.zeros(LIMIT, bool)
         self.hyphen[[ord(c) for c in HYPHENS]] = True
-        #: script: letters of Cyrillic, Greek and Armenian with and without a Latin look-alike, and ASCII letters.
+        #: script: letters of other scripts with and without a Latin look-alike, and ASCII letters.
         self.script = np.zeros(LIMIT, np.uint8)
-        self.script[0x370:0x590][self.letter[0x370:0x590]] = HARD
+        for block in (slice(0x370, 0x590), slice(0x13A0, 0x1400), slice(0xA4D0, 0xA4FE)):
+            self.script[block][self.letter[block]] = HARD
         self.latin = np.arange(LIMIT, dtype=np.uint32)
-        for table in (CYRILLIC, GREEK, ARMENIAN, LATIN):
+        for table in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, LISU, LATIN):
             for a, b in table.items():
                 self.latin[ord(a)], self.script[ord(a)] = ord(b), SOFT
         self.script[0x41:0x5B] = self.script[0x61:0x7B] = PLAIN

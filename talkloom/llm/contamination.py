@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -27,14 +28,12 @@ def reduce_text(text: str) -> str:
 
 
 def reduce_with_offsets(text: str) -> tuple[str, list[int]]:
-    """The same, with the original position of each character kept."""
-    out, at = [], []
-    for i, c in enumerate(text):
-        for x in c.lower():
-            if x.isalnum():
-                out.append(x)
-                at.append(i)
-    return "".join(out), at
+    """The same, with the original position of each character kept. The whole text is lowered at once, as a letter's
+    lower case may depend on its neighbours; how many characters it has does not."""
+    low = text.lower()
+    at = range(len(text)) if text.isascii() else [i for i, c in enumerate(text) for _ in c.lower()]
+    kept = [(x, i) for x, i in zip(low, at, strict=True) if x.isalnum()]
+    return "".join(x for x, _ in kept), [i for _, i in kept]
 
 
 def _run(a: str, i: int, b: str, j: int, n: int) -> tuple[int, int, int]:
@@ -86,17 +85,14 @@ class Scanner:
                     best[k] = (n, s)
         if not best:
             return []
-        exact, at = reduce_with_offsets(text)
-        if exact != reduced:  # a character whose lower case depends on its neighbours
-            at = _align(text, reduced)
+        at = reduce_with_offsets(text)[1]
         return [(k, n, len(self.items[k]), at[s], at[s + n - 1] + 1) for k, (n, s) in best.items()]
 
 
-def _align(text: str, reduced: str) -> list[int]:
-    at, sizes = [], [len(reduce_text(text[:i])) for i in range(len(text) + 1)]
-    for i in range(len(text)):
-        at += [i] * max(0, sizes[i + 1] - len(at))
-    return (at + [len(text) - 1] * len(reduced))[: len(reduced)]
+@lru_cache(1)
+def _scanner(items: tuple[tuple[int, str], ...], least: int) -> Scanner:
+    """One automaton a worker process, whatever the number of its tasks."""
+    return Scanner(list(items), least)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: int = 50, max_item_chars: int = 8_000_000) -> DataFrame:
@@ -121,10 +117,10 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = 50, max_item_ch
 
 
 def _scan(docs: DataFrame, items: list[tuple[int, str]], least: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(shared.value, least)
+        scanner = _scanner(shared.value, least)
         for b in batches:
             out: list[list[int]] = [[] for _ in range(6)]
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

@@ -21,8 +21,6 @@ from talkloom.session import cut
 TOKENIZER = os.environ.get("TALKLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: The split pattern of that vocabulary; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Default domains of the sources; any mapping may be given.
-DOMAINS = {"channel_post": "feed", "group_thread": "feed", "news_digest": "reference", "wiki_page": "reference", "help_answer": "reference", "voice_transcript": "speech", "bot_log": "machine"}
 #: Ranges of the seeded order in which a leaf is summed up before its last range is cut exactly.
 RANGES = 4096
 
@@ -30,11 +28,15 @@ RANGES = 4096
 def count_tokens(rows: DataFrame, text: str, to: str = "tokens", vocabulary: str = TOKENIZER) -> DataFrame:
     """``rows`` without ``text``, with the number of its tokens. Null and empty text have 0."""
     others = [f for f in rows.schema.fields if f.name != text]
+    # Every executor gets the file; it need not be there before.
+    rows.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for b in batches:
@@ -106,15 +108,17 @@ class Mixture:
     Documents without a source or id, or of a source without target, are not drawn; the total to aim for is
     the tokens of all documents with a source. Null languages are one language. A language's weight within a
     source is its share of the source's tokens. Targets are a small table; of a repeated source the greatest
-    share and repeats hold, null shares and repeats count as 0 and 1. Equal ids count as different rows.
+    share and repeats hold, null shares and repeats count as 0 and 1. ``domains`` gives the domain of each source ("other", if
+    not named). Equal ids count as different rows.
     """
 
-    def __init__(self, docs: DataFrame, targets: DataFrame, domains: Mapping[str, str] = DOMAINS, seed: int = 1, vocabulary: str = TOKENIZER):
+    def __init__(self, docs: DataFrame, targets: DataFrame, domains: Mapping[str, str] | None = None, seed: int = 1, vocabulary: str = TOKENIZER):
+        domains = domains or {}
         rows = docs.where("source is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "source", _language(F.col("lang")).alias("lang"), "text")
         counted = count_tokens(rows, "text", vocabulary=vocabulary)
         order = F.xxhash64(F.lit(seed), "doc_id")
         self.docs = cut(counted.withColumn("order", order).withColumn("range", F.pmod(F.shiftrightunsigned("order", 52), F.lit(RANGES)).cast("int")), "tokens")
-        # Leaves are sources times languages: as many rows as there are ranges at most, whatever the corpus.
+        # One row per source and language comes to the driver; documents never do.
         sums = self.docs.groupBy("source", "lang", "range").agg(F.sum("tokens").alias("tokens"))
         leaves = [r.asDict() for r in sums.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).collect()]
         wanted = {

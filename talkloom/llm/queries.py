@@ -16,6 +16,8 @@ from talkloom.llm.topn import top_n
 from talkloom.operators.links import dated_links, distinct_links
 from talkloom.sources.tables import table
 
+#: Domains of the sources of these tables.
+DOMAINS = {"channel_post": "feed", "group_thread": "feed", "news_digest": "reference", "wiki_page": "reference", "help_answer": "reference", "voice_transcript": "speech", "bot_log": "machine"}
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -57,6 +59,12 @@ def p6_canonical_topics(spark: SparkSession, folder: str) -> DataFrame:
     return canonicalise(table(spark, folder, "wiki_topics").select("topic_id", "updated_at", "title_ko"), "title_ko", "title_form")
 
 
+@query()
+def p6_canonical_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message row with the consistent form of its text."""
+    return canonicalise(table(spark, folder, "messages").select("chat_id", "message_id", "batch_id", "text_plain"), "text_plain", "text_form").drop("text_plain")
+
+
 def _shared(spark: SparkSession, folder: str) -> DataFrame:
     return windows_of(table(spark, folder, "documents"), "doc_id", "text", 200)
 
@@ -98,7 +106,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).select("item_id", "doc_id").distinct()
 
 
-@query()
+@query(
+    f"""WITH i AS (SELECT item_id, {_REDUCED} AS t FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {_REDUCED} AS t FROM documents WHERE text IS NOT NULL),
+    iw AS (SELECT item_id, k AS ik, substr(t, k, 50) AS s FROM (SELECT item_id, t, unnest(range(1, length(t) - 48)) AS k FROM i WHERE length(t) >= 50)),
+    dw AS (SELECT doc_id, k AS dk, substr(t, k, 50) AS s FROM (SELECT doc_id, t, unnest(range(1, length(t) - 48)) AS k FROM d WHERE length(t) >= 50)),
+    m AS (SELECT item_id, doc_id, ik, dk - ik AS diagonal FROM iw JOIN dw USING (s)),
+    r AS (SELECT item_id, doc_id, count(*) + 49 AS run FROM (SELECT *, ik - row_number() OVER (PARTITION BY item_id, doc_id, diagonal ORDER BY ik) AS island FROM m) GROUP BY item_id, doc_id, diagonal, island),
+    b AS (SELECT item_id, count(DISTINCT doc_id) AS n_docs, CAST(max(run) AS INTEGER) AS longest_run FROM r GROUP BY 1)
+    SELECT item_id, n_docs, longest_run, CAST(length(t) AS INTEGER) AS item_chars, round(longest_run / length(t), 6) AS longest_share FROM b JOIN i USING (item_id)"""
+)
 def p8_leak_report(spark: SparkSession, folder: str) -> DataFrame:
     """Per test item: in how many documents it leaked and the longest part found."""
     best = _leaks(spark, folder).groupBy("item_id").agg(
@@ -133,7 +149,7 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, folder: str) -> Mixture:
-    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), DOMAINS)
 
 
 @query()

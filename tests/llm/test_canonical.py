@@ -1,3 +1,4 @@
+from talkloom.llm import canonical
 import unicodedata
 
 import pyarrow as pa
@@ -64,3 +65,10 @@ def test_frames(rows):
     assert [(r.id, r.had_standin, r.canonical and r.canonical[-2:]) for r in got] == [(1, True, "a"), (2, False, None), (3, True, "xy")]
     assert canonicalise(rows(s), "t").collect() == []
     assert [tuple(r) for r in standins(rows("id long, t string", [(1, "ａ"), (2, "b"), (3, None)]), "t").collect()] == [(1,)]
+
+
+def test_letters_of_rare_scripts():
+    import pyarrow as pa
+
+    out, found = canonical.canonical_array(pa.array(["Ꭺpple ꓐank", "ᏣᎳᎩ", "ꓡꓲꓢꓴ"]))
+    assert out.to_pylist() == ["Apple Bank", "ᏣᎳᎩ", "ꓡꓲꓢꓴ"] and found.tolist() == [True, False, False]

@@ -1,3 +1,4 @@
+from talkloom.llm import contamination
 import random
 
 from hypothesis import given
@@ -41,3 +42,14 @@ def test_frames(rows):
     assert got == {(i, i) for i in range(10)}
     assert {(r.doc_id, r.item_id) for r in contaminated(d, t, 50, max_item_chars=300).collect()} == got
     assert contaminated(d, t.limit(0), 50).collect() == [] and contaminated(d.limit(0), t, 50).collect() == []
+
+
+def test_long_text_with_a_final_sigma_is_linear():
+    import time
+
+    item = "".join(chr(97 + i * i % 26) for i in range(80))
+    text = "İΟΔΟΣ " + "lorem ipsum " * 90_000 + item.upper() + " ΛΟΓΟΣ end"
+    began = time.time()
+    (found,) = contamination.Scanner([(5, item)], 50).runs(text)
+    assert time.time() - began < 5
+    assert found[0] == 5 and text[found[3] : found[4]].lower().endswith(item[-20:]) and text.index(item.upper()) == found[3]
