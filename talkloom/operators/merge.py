@@ -92,18 +92,28 @@ def next_ids(batch: DataFrame, id_column: str, highest: int, order: Sequence[str
     return ranked(batch, id_column, order, parts).withColumn(id_column, F.col(id_column) + highest + 1)
 
 
-def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int = 200) -> DataFrame:
-    """(keys, op, old_index, new_index): D removed, I inserted, U changed or moved; unchanged rows are left out.
+def diff(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int = 200, new_order: Sequence[str] | None = None) -> DataFrame:
+    """(keys, op, old_index, new_index): D removed, I inserted, U changed, M moved; unchanged rows are left out.
 
-    Indexes are 0-based positions in ``order``, which should be total. Content is compared by hash of the other columns.
+    Indexes are 0-based positions in ``order`` (of ``new``: in ``new_order``, if given), which should be total. Content
+    is compared by hash of the other columns. Moved are rows of the same content whose place among the rows that both
+    lists have is another; with one order for both lists and no change of content nothing moves, so these places are
+    made only where orders differ.
     """
     content = [c for c in old.columns if c not in keys]
 
-    def indexed(df: DataFrame, name: str) -> DataFrame:
-        return ranked(df, f"{name}_index", order, parts).select(*keys, f"{name}_index", F.xxhash64(*content).alias(f"{name}_hash"))
-
-    joined = indexed(old, "old").join(indexed(new, "new"), list(keys), "full")
-    op = F.when(F.col("new_index").isNull(), "D").when(F.col("old_index").isNull(), "I").when(F.col("old_hash") != F.col("new_hash"), "U")
+    def indexed(df: DataFrame, name: str, by: Sequence[str]) -> DataFrame:
+        return ranked(df, f"{name}_index", by, parts).select(*keys, f"{name}_index", F.xxhash64(*content).alias(f"{name}_hash"))
+
+    joined = indexed(old, "old", order).join(indexed(new, "new", new_order or order), list(keys), "full")
+    moved = F.lit(False)
+    if new_order and list(new_order) != list(order):
+        joined = cut(joined, "joined")
+        both = joined.where("old_index is not null and new_index is not null").select(*keys, "old_index", "new_index")
+        places = ranked(ranked(both, "_was", ["old_index"], parts), "_now", ["new_index"], parts).where("_was <> _now").select(*keys, F.lit(True).alias("_moved"))
+        joined = joined.join(places, list(keys), "left")
+        moved = F.coalesce("_moved", F.lit(False))
+    op = F.when(F.col("new_index").isNull(), "D").when(F.col("old_index").isNull(), "I").when(F.col("old_hash") != F.col("new_hash"), "U").when(moved, "M")
     return joined.withColumn("op", op).where("op is not null").select(*keys, "op", "old_index", "new_index")
 
 

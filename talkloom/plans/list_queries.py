@@ -216,13 +216,17 @@ def nfkc_title_norm(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("norm").agg(F.max_by("topic_id", F.struct("updated_at", "topic_id")).alias("topic_id"), F.count("*").alias("n"))
 
 
-@query()
+def _field_sql(c: str) -> str:
+    return f"printf('%08X', octet_length(encode(coalesce(CAST({c} AS VARCHAR), '')))) || hex(encode(coalesce(CAST({c} AS VARCHAR), '')))"
+
+
+@query(f"SELECT topic_id, chat_id, message_id, upper(left(sha256(unhex({' || '.join(map(_field_sql, ('topic_id', 'message_id', 'chat_id', 'text')))})), 32)) AS hash FROM {DATED} d JOIN (SELECT chat_id, message_id, text FROM {MESSAGES}) m USING (chat_id, message_id)")
 def evidence_hash(spark: SparkSession, folder: str) -> DataFrame:
     rows = _dated(spark, folder).join(_messages(spark, folder).drop("timestamp"), ["chat_id", "message_id"])
     return rows.select("topic_id", "chat_id", "message_id", F.hex(tx.evidence_hash(F.col("topic_id"), F.col("message_id"), F.col("chat_id"), F.col("text"))).alias("hash"))
 
 
-@query()
+@query(f"SELECT chat_id, message_id, regexp_replace(regexp_replace(text, '[🏻-🏿]', '', 'g'), '️', '', 'g') AS text FROM {MESSAGES} WHERE regexp_matches(text, '^\\s*(?:{tx._EMOJI_UNIT}\\s*)+$')")
 def picture_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Messages of nothing but pictures, without skin tones and variation marks."""
     rows = _messages(spark, folder).where(tx.only_emoji(F.col("text")))

@@ -150,7 +150,16 @@ def substring_range(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", at.cast("long").alias("first_at")).where("first_at is not null")
 
 
-@query()
+def _rating_sql(q: str) -> str:
+    same = f"len(list_filter(range(1, {len(q) + 1}), lambda k: left(w, k) = left('{q}', k)))"
+    longest = f"greatest(length(w), {len(q)})"
+    return f"(CASE WHEN {same} > 0 THEN ({longest} - {same}) / {longest} ELSE 1.0 END)"
+
+
+@query(
+    f"""WITH w AS (SELECT topic_id, unnest(list_filter(string_split_regex(lower(title), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS w FROM {TOPICS} WHERE title IS NOT NULL)
+    SELECT DISTINCT topic_id, w AS word FROM w WHERE {_rating_sql("logistic")} < 0.37 OR {_rating_sql("found")} < 0.37"""
+)
 def fuzzy_prefix_words(spark: SparkSession, folder: str) -> DataFrame:
     rows = current_topics(spark, folder).select("topic_id", F.explode(tx.fuzzy_prefix_hits(F.col("title"), "logistic found")).alias("word"))
     return rows.distinct()
@@ -176,7 +185,11 @@ def member_search(spark: SparkSession, folder: str) -> DataFrame:
     return current_chats(spark, folder).where((F.col("chat_type") != "private") & hit).select("chat_id", "title", "username")
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT chat_id, message_id, regexp_extract_all(text_plain, '{tx._EMOJI_UNIT}') AS all_ FROM messages),
+    x AS (SELECT chat_id, message_id, unnest(all_) AS emoji, unnest(range(len(all_))) AS place FROM e)
+    SELECT emoji, count(DISTINCT (chat_id, message_id)) AS n_messages, CAST(min(place) AS INTEGER) AS first_at FROM x GROUP BY 1"""
+)
 def emoji_keywords(spark: SparkSession, folder: str) -> DataFrame:
     """Pictures of the messages, each once, ordered by their first place, with how many messages hold them."""
     rows = table(spark, folder, "messages").select("chat_id", "message_id", F.posexplode(tx.extract_emoji(F.col("text_plain"))).alias("at", "emoji"))
