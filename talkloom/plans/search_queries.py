@@ -9,6 +9,7 @@ from talkloom.functions import text as tx
 from talkloom.functions.hangul import FINALS, INITIALS, VOWELS, decompose_jamo, has_bare_jamo
 from talkloom.operators import search
 from talkloom.operators.lists import first_occurrence
+from talkloom.operators.search_index import SearchIndex, index_of
 from talkloom.plans.registry import Registry
 from talkloom.sources.tables import current_chats, current_topics, table
 
@@ -29,6 +30,10 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "messages").select("chat_id", "message_id", "timestamp", F.col("text_plain").alias("text"))
 
 
+def _index(spark: SparkSession, folder: str) -> SearchIndex:
+    return index_of(spark, _messages(spark, folder), f"{folder}/messages.parquet")
+
+
 def _hits_sql(condition: str, scope: str = "") -> str:
     return f"SELECT chat_id, message_id, min(timestamp) AS timestamp, any_value(text_plain) AS text FROM messages WHERE ({condition}) {scope} GROUP BY 1, 2"
 
@@ -66,10 +71,21 @@ _BM25 = _bm25_sql(_PLAN.phrases, _MATCHED)
 _ORDERED = "ORDER BY rank, tf_total DESC, timestamp DESC, chat_id, message_id"
 
 
+@query(
+    f"""WITH m AS (SELECT greatest(length(a) - 2, 0) + greatest(length(b) - 2, 0) + greatest(length(c) - 2, 0) AS len FROM (SELECT lower(coalesce(text_plain, '')) AS a,
+        {JAMO_SQL.format(t="coalesce(text_plain, '')")} AS b, regexp_replace(lower(coalesce(text_plain, '')), '{WS}', '', 'g') AS c FROM messages))
+    SELECT count(*) AS n, round(avg(len), 6) AS mean_length FROM m"""
+)
+def search_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The figures of the stored index, which is made if it is not there."""
+    figures = _index(spark, folder).figures
+    return spark.createDataFrame([(figures.n, figures.mean)], "n long, mean double").select("n", F.round("mean", 6).alias("mean_length"))
+
+
 @query(_BM25)
 def search_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """All ranked matches of a query."""
-    return search.bm25(_messages(spark, folder), _QUERY)
+    return _index(spark, folder).bm25(_QUERY)
 
 
 _KO = search.plan_query("반도체 수율")
@@ -78,7 +94,7 @@ _KO = search.plan_query("반도체 수율")
 @query(_bm25_sql(_KO.phrases, " OR ".join("(" + " AND ".join(_any(t) for t in v) + ")" for v in _KO.variants)))
 def search_bm25_korean(spark: SparkSession, folder: str) -> DataFrame:
     """Korean terms, matched by their letters too."""
-    return search.bm25(_messages(spark, folder), "반도체 수율")
+    return _index(spark, folder).bm25("반도체 수율")
 
 
 _SCOPED = f"""WITH hits AS ({_BM25}), e AS (SELECT chat_id FROM {CHATS} WHERE is_excluded),
@@ -88,7 +104,7 @@ _SCOPED = f"""WITH hits AS ({_BM25}), e AS (SELECT chat_id FROM {CHATS} WHERE is
 
 def _scoped(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus figures are those of all messages; the scope narrows what comes out."""
-    return search.in_scope(search.bm25(_messages(spark, folder), _QUERY), current_chats(spark, folder)).drop("text")
+    return search.in_scope(_index(spark, folder).bm25(_QUERY), current_chats(spark, folder)).drop("text")
 
 
 @query(f"{_SCOPED}, CAST(position AS INTEGER) AS position, total > 30 AS has_more FROM p WHERE position <= 30")
@@ -110,13 +126,13 @@ def search_keyset_page2(spark: SparkSession, folder: str) -> DataFrame:
 @query(_hits_sql(f"contains(lower(text_plain), 'ok') OR contains(regexp_replace(lower(text_plain), '{WS}', '', 'g'), 'ok')"))
 def search_like(spark: SparkSession, folder: str) -> DataFrame:
     """A query too short for ranking: every term somewhere."""
-    return search.contains_all(_messages(spark, folder), "ok")
+    return _index(spark, folder).contains_all("ok")
 
 
 @query(_hits_sql(f"contains(lower(text_plain), 'ㅅㅜㅇ') OR contains(regexp_replace(lower(text_plain), '{WS}', '', 'g'), 'ㅅㅜㅇ') OR contains({JAMO_SQL.format(t='text_plain')}, 'ㅅㅜㅇ')"))
 def search_jamo(spark: SparkSession, folder: str) -> DataFrame:
     """Bare letters are found inside syllables."""
-    return search.contains_all(_messages(spark, folder), "ㅅㅜㅇ")
+    return _index(spark, folder).contains_all("ㅅㅜㅇ")
 
 
 _ONE = "(SELECT chat_id FROM messages GROUP BY 1 ORDER BY count(*) DESC, chat_id LIMIT 1)"
@@ -124,7 +140,7 @@ _ONE = "(SELECT chat_id FROM messages GROUP BY 1 ORDER BY count(*) DESC, chat_id
 
 @query(_hits_sql("contains(lower(text_plain), 'tariff')", f"AND chat_id = {_ONE}"))
 def search_in_chat(spark: SparkSession, folder: str) -> DataFrame:
-    """The busiest chat only; its filter reaches the scan."""
+    """The busiest chat only; without index, as the filter reaches the scan."""
     rows = _messages(spark, folder)
     chat = rows.groupBy("chat_id").count().orderBy(F.desc("count"), "chat_id").first()
     return search.contains_all(search.in_scope(rows, rows, chat.chat_id if chat else -1), "tariff")
@@ -134,7 +150,7 @@ def search_in_chat(spark: SparkSession, folder: str) -> DataFrame:
 def search_shaped(spark: SparkSession, folder: str) -> DataFrame:
     """A page with chat titles, links and highlights."""
     links = table(spark, folder, "messages").where("link is not null").groupBy("chat_id", "message_id").agg(F.max("link").alias("link"))
-    hits = search.page(search.bm25(_messages(spark, folder), _QUERY))
+    hits = search.page(_index(spark, folder).bm25(_QUERY))
     return search.shaped(hits, current_chats(spark, folder), links, _QUERY)
 
 

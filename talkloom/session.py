@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -40,9 +41,29 @@ def scratch_base(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "talkloom-scratch")
 
 
+_made: list[tuple] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder. It is deleted when this process ends, as results may be read until then."""
+    path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if not _made:
+        atexit.register(clean_up)
+    _made.append((path, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
+
+
+def clean_up() -> int:
+    """Deletes the folders of ``scratch_dir``; returns how many. Results that still read them are lost."""
+    gone = 0
+    while _made:
+        path, jvm, conf = _made.pop()
+        try:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            gone += bool(p.getFileSystem(conf).delete(p, True))
+        except Exception:  # the JVM has ended before
+            break
+    return gone
 
 
 def cut(df, name: str):

@@ -76,3 +76,18 @@ def test_nulls_empty_and_repeats(rows):
     assert search.bm25(rows(M), "test").collect() == []
     got = search.bm25(rows(M, [(1, 1, 5, "test"), (1, 1, 3, "test"), (1, 2, 1, None), (1, 3, 1, ""), (1, 4, 1, "x" * 100_000 + "test")]), "test").collect()
     assert sorted((r.message_id, r.timestamp) for r in got) == [(1, 3), (4, 1)]
+
+
+def test_index_gives_what_the_scan_gives(rows, tmp_path):
+    from talkloom.operators.search_index import SearchIndex
+
+    data = [(1, i, 100 + i, t) for i, t in enumerate(["bitcoin etf today", "the bitcoin", None, "", "etf etf bitcoin", "삼성전자 주가", "삼성 전자 실적", "a\u00a0b c d e f", "AAAA aaa", "x" * 5000 + "bitcoin", "ㅅㅏㅁ"])]
+    data += [(1, 0, 50, "bitcoin etf today"), (2, 0, 1, "𝒜𝒜𝒜 bit coin")]
+    index = SearchIndex.build(rows(M, data), f"file://{tmp_path}/i", 3, 2)
+    order = ["chat_id", "message_id"]
+    for q in ("bitcoin", "bitcoin etf", "삼성전자", "aaa", "nowhere bitcoin", "nowhere", "bitcoin\tETF today", "𝒜𝒜𝒜", "bitc oin"):
+        assert index.bm25(q).orderBy(order).collect() == search.bm25(rows(M, data), q).orderBy(order).collect(), q
+    for q in ("ㅅㅏ", "ㅅㅏㅁ", "삼성", "", "b c", "bitcoin et", "nowhere", "삼성 전자"):
+        assert index.contains_all(q).orderBy(order).collect() == search.contains_all(rows(M, data), q).orderBy(order).collect(), q
+    empty = SearchIndex.build(rows(M), f"file://{tmp_path}/e")
+    assert empty.bm25("bitcoin").collect() == empty.contains_all("bitcoin").collect() == []
